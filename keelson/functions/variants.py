@@ -1,0 +1,58 @@
+"""Reading JSON values whose type is not known, as ``VariantType`` columns.
+
+A missing key gives a SQL null, a JSON null gives a variant that is not null, so
+presence and value can be told apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def parse_whole(text: Column) -> Column:
+    """The JSON value of a text, or null unless the whole text is one JSON value.
+
+    Parsing inside brackets makes trailing text an error instead of ignoring it.
+    """
+    bracketed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(bracketed, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+
+
+def member(value: Column, path: str) -> Column:
+    """The value at a path: null if absent, a variant null if it is a JSON null."""
+    return F.try_variant_get(value, path, "variant")
+
+
+def text(value: Column, path: str = "$") -> Column:
+    """The value at a path as text; null if absent or a JSON null."""
+    return F.try_variant_get(value, path, "string")
+
+
+def items(value: Column, path: str = "$") -> Column:
+    """The items of the array at a path; null if there is no array."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def is_object(value: Column, path: str = "$") -> Column:
+    """Whether there is an object at the path; never null."""
+    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
+
+
+def is_text(value: Column) -> Column:
+    """Whether the value is a JSON string."""
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def is_filled(value: Column) -> Column:
+    """Whether there is a value other than null, false, zero and the empty ones."""
+    array, members = items(value), F.try_variant_get(value, "$", "map<string,variant>")
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), False)
+        .when(array.isNotNull(), F.size(array) > 0)
+        .when(members.isNotNull(), F.size(members) > 0)
+        .when(kind == "STRING", text(value) != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+    )
