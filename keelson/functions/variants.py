@@ -14,9 +14,10 @@ def parse_whole(text: Column) -> Column:
 
     Parsing inside brackets makes trailing text an error instead of ignoring it.
     """
-    bracketed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    values = F.try_variant_get(bracketed, "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    values = items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    # A filter names the array once; a condition on it would parse the text twice.
+    single = F.filter(F.array(values), lambda v: F.size(v) == 1)
+    return F.get(F.get(single, F.lit(0)), F.lit(0))
 
 
 def member(value: Column, path: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,6 +17,16 @@ def instant(as_of: Column | dt.datetime | None) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that later filters read instead of computing again.
+
+    Spark moves a filter below the projection its columns come from and puts their
+    whole expressions into it. A generator of one row is where that stops.
+    """
+    row = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select(*map(quoted, df.columns), F.inline(F.array(row)))
+
+
 def add_audit_columns(df: DataFrame, status: str, as_of: Column | dt.datetime | None = None) -> DataFrame:
     """All columns plus ``processed_at`` and ``processing_status``."""
     return df.withColumns({"processed_at": instant(as_of), "processing_status": F.lit(status)})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import first_filled, iso_utc
 from ..functions.variants import is_filled, is_object, is_text, items, member, parse_whole, text
-from .columns import instant
+from .columns import compute_once, instant
 
 # Texts and addresses that the events must carry as they are.
 MESSAGE_NOT_PROCESSED = "Event type %s acknowledged but not processed"
@@ -59,12 +59,13 @@ def unwrap_events(events: DataFrame, raw: str = "raw") -> DataFrame:
     outer = F.col("__outer")
     body = member(outer, "$.body")
     payload = (
-        F.when(body.isNotNull() & is_object(body), body)
+        F.when(is_object(body) | F.is_variant_null(body), body)
         .when(body.isNotNull(), parse_whole(text(body)))
         .when(is_object(outer), outer)
         .otherwise(parse_whole(text(outer)))
     )
-    return events.withColumn("__outer", parse_whole(F.col(raw))).withColumn("payload", payload).drop("__outer")
+    parsed = compute_once(events, {"__outer": parse_whole(F.col(raw))})
+    return compute_once(parsed, {"payload": payload}).drop("__outer")
 
 
 def classify_events(unwrapped: DataFrame) -> DataFrame:
@@ -195,12 +196,22 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         .when((F.size(found) == 0) | (to.getField("state") == "empty"), "not_parsed")
         .otherwise("posted")
     )
-    routed = read.withColumns({"outcome": outcome, "__found": found})
+    routed = compute_once(read.withColumn("__found", found), {"outcome": outcome})
     posted = F.col("outcome") == "posted"
-    table = lambda s: F.struct(*(s.getField(part).alias(part) for part in TABLE_PARTS))
     is_known = F.col("outcome").isin("posted", "not_processed", "no_lineage", "not_parsed")
-    metadata_schema = member(p, "$.metadata.schema")
-    fields = F.when(ol, extract_schema_fields(target)).otherwise(metadata_schema)
+    fields = F.when(ol, extract_schema_fields(target)).otherwise(member(p, "$.metadata.schema"))
+    override = F.when(~ol & is_filled(member(p, "$.job_type_override")), text(p, "$.job_type_override"))
+    message = (
+        F.when(F.col("outcome") == "not_processed", F.format_string(MESSAGE_NOT_PROCESSED, F.col("__type")))
+        .when(F.col("outcome") == "no_lineage", MESSAGE_NO_LINEAGE)
+        .when(F.col("outcome") == "not_parsed", MESSAGE_NOT_PARSED)
+        .when(F.col("outcome") == "rejected", MESSAGE_REJECTED)
+        .when(F.col("outcome") == "failed", _MESSAGE_FAILED)
+    )
+
+    def table(parsed: Column) -> Column:
+        return F.struct(*(parsed.getField(part).alias(part) for part in TABLE_PARTS))
+
     return routed.select(
         *kept,
         "is_openlineage",
@@ -209,21 +220,10 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         .otherwise(200)
         .alias("status"),
         "outcome",
-        F.when(F.col("outcome") == "not_processed", F.format_string(MESSAGE_NOT_PROCESSED, F.col("__type")))
-        .when(F.col("outcome") == "no_lineage", MESSAGE_NO_LINEAGE)
-        .when(F.col("outcome") == "not_parsed", MESSAGE_NOT_PARSED)
-        .when(F.col("outcome") == "rejected", MESSAGE_REJECTED)
-        .when(F.col("outcome") == "failed", _MESSAGE_FAILED)
-        .alias("message"),
+        message.alias("message"),
         F.when(is_known, F.when(ol, text(p, "$.run.runId")).otherwise(text(p, "$.run_id"))).alias("run_id"),
         F.when(is_known, text(F.col("__job"))).alias("job_name"),
-        F.when(
-            posted,
-            F.coalesce(
-                F.when(~ol & is_filled(member(p, "$.job_type_override")), text(p, "$.job_type_override")),
-                F.lit(config.job_integration),
-            ),
-        ).alias("job_type"),
+        F.when(posted, F.coalesce(override, F.lit(config.job_integration))).alias("job_type"),
         F.when(posted, F.when(ol, extract_sql(p)).otherwise(text(p, "$.sql_query"))).alias("sql_query"),
         F.when(posted, F.transform(F.col("__found"), table)).alias("sources"),
         F.when(posted, table(to)).alias("target"),

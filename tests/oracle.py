@@ -57,7 +57,7 @@ def main() -> None:
     from keelson.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("oracle", spark__master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    spark = build_session("oracle", spark__master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracles = driver.queries(), driver.oracle_sql()
