@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import first_filled, iso_utc
-from ..functions.variants import is_filled, is_object, is_text, items, member, parse_whole, text
+from ..functions.json import as_map, is_filled, is_object, whole
 from .columns import compute_once, instant
 
 # Texts and addresses that the events must carry as they are.
@@ -52,162 +52,189 @@ class LineageConfig:
 
 
 def unwrap_events(events: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``payload``: the event inside a ``body`` or inside a JSON string, else itself.
+    """Add ``payload``, JSON text: the event inside a ``body`` or inside a JSON string, else itself.
 
-    A body that is text is parsed again. Null where the text is no JSON.
+    Null where a text is not one whole JSON value.
     """
-    outer = F.col("__outer")
-    body = member(outer, "$.body")
+    text = F.col(raw)
+    body = F.get_json_object(text, "$.body")
     payload = (
-        F.when(is_object(body) | F.is_variant_null(body), body)
-        .when(body.isNotNull(), parse_whole(text(body)))
-        .when(is_object(outer), outer)
-        .otherwise(parse_whole(text(outer)))
+        F.when(F.array_contains(F.json_object_keys(text), "body"), whole(F.coalesce(body, F.lit("null"))))
+        .when(F.ltrim(text).startswith('"'), whole(F.get_json_object(text, "$")))
+        .otherwise(text)
     )
-    parsed = compute_once(events, {"__outer": parse_whole(F.col(raw))})
-    return compute_once(parsed, {"payload": payload}).drop("__outer")
+    return compute_once(events, {"payload": F.when(whole(text).isNotNull(), payload)})
 
 
 def classify_events(unwrapped: DataFrame) -> DataFrame:
     """Add ``is_openlineage``: all three marker keys are there, whatever their values."""
+    return unwrapped.withColumn("is_openlineage", _has_markers(F.json_object_keys("payload")))
+
+
+def _has_markers(keys: Column) -> Column:
     present = F.lit(True)
     for key in ("eventType", "run", "job"):
-        present = present & member(F.col("payload"), f"$.{key}").isNotNull()
-    return unwrapped.withColumn("is_openlineage", present)
+        present = present & F.array_contains(keys, key)
+    return F.coalesce(present, F.lit(False))
 
 
-def parse_dataset(dataset: Column, config: LineageConfig) -> Column:
-    """A dataset as a struct of ``state`` (``ok``, ``empty``, ``bad``) and table parts.
+def parse_datasets(datasets: Column, config: LineageConfig) -> Column:
+    """An array of dataset texts as structs of ``state`` (``ok``, ``empty``, ``bad``) and table parts.
 
     The last two parts of the name are schema and table; one part goes to the
-    default schema. An empty dataset has no table; a name that is no text is bad.
+    default schema. An empty dataset has no table; one whose name is null, or that
+    is no object, is bad.
     """
-    name = member(dataset, "$.name")
-    parts = F.split(F.when(name.isNull(), "").otherwise(text(name)), r"\.", -1)
-    state = (
-        F.when(~is_filled(dataset), "empty")
-        .when(is_object(dataset) & (name.isNull() | is_text(name)), "ok")
-        .otherwise("bad")
-    )
-    return F.struct(
-        state.alias("state"),
-        F.lit(config.account_id).alias("account_id"),
-        F.lit(config.catalog).alias("catalog"),
-        F.lit(config.database).alias("database"),
-        F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2)))
-        .otherwise(config.default_schema)
-        .alias("schema"),
-        F.try_element_at(parts, F.lit(-1)).alias("table"),
-    )
 
+    def read(dataset: Column) -> Column:
+        return F.struct(dataset.alias("text"), as_map(dataset).alias("seen"))
+
+    def judge(item: Column) -> Column:
+        seen = item.getField("seen")
+        name = F.try_element_at(seen, F.lit("name"))
+        state = (
+            F.when(seen.isNull(), F.when(is_filled(item.getField("text")), "bad").otherwise("empty"))
+            .when(F.size(seen) == 0, "empty")
+            .when(name.isNull() & F.map_contains_key(seen, "name"), "bad")
+            .otherwise("ok")
+        )
+        return F.struct(state.alias("state"), F.coalesce(name, F.lit("")).alias("name"))
 
-def declared_table(table: Column) -> Column:
-    """A table of a generic request, in the shape of ``parse_dataset``; all parts are needed."""
-    complete = F.lit(True)
-    for part in TABLE_PARTS:
-        complete = complete & text(table, f"$.{part}").isNotNull()
-    return F.struct(
-        F.when(complete, "ok").otherwise("bad").alias("state"),
-        *(text(table, f"$.{part}").alias(part) for part in TABLE_PARTS),
-    )
+    def place(item: Column) -> Column:
+        name = item.getField("name")
+        schema = F.substring_index(F.substring_index(name, ".", -2), ".", 1)
+        return F.struct(
+            item.getField("state").alias("state"),
+            F.lit(config.account_id).alias("account_id"),
+            F.lit(config.catalog).alias("catalog"),
+            F.lit(config.database).alias("database"),
+            F.when(F.contains(name, F.lit(".")), schema).otherwise(config.default_schema).alias("schema"),
+            F.substring_index(name, ".", -1).alias("table"),
+        )
 
+    return F.transform(F.transform(F.transform(datasets, read), judge), place)
 
-def extract_sql(payload: Column) -> Column:
-    """Query text: of the ``sql`` facet if there is one, else compiled or raw dbt text."""
-    return F.when(member(payload, "$.job.facets.sql").isNotNull(), text(payload, "$.job.facets.sql.query")).otherwise(
-        first_filled(text(payload, "$.job.facets.dbt.compiled_sql"), text(payload, "$.job.facets.dbt.raw_sql"))
-    )
+
+def declared_tables(tables: Column) -> Column:
+    """Table texts of generic requests, in the shape of ``parse_datasets``; all parts are needed."""
+    shape = ", ".join(f"{part} string" for part in TABLE_PARTS)
+
+    def judge(parts: Column) -> Column:
+        complete = F.lit(True)
+        for part in TABLE_PARTS:
+            complete = complete & parts.getField(part).isNotNull()
+        return F.struct(
+            F.when(complete, "ok").otherwise("bad").alias("state"),
+            *(parts.getField(part).alias(part) for part in TABLE_PARTS),
+        )
+
+    return F.transform(F.transform(tables, lambda t: F.from_json(t, shape)), judge)
 
 
-def sql_facets_broken(payload: Column) -> Column:
-    """Whether a facet that ``extract_sql`` has to read is there but is no object."""
-    facets, sql, dbt = (member(payload, f"$.job.facets{p}") for p in ("", ".sql", ".dbt"))
-    return (
-        (facets.isNotNull() & ~is_object(facets))
-        | (sql.isNotNull() & ~is_object(sql))
-        | (sql.isNull() & dbt.isNotNull() & ~is_object(dbt))
+def extract_sql(facets: Column) -> Column:
+    """Query text from the map of job facets: of ``sql`` if it is there, else compiled or raw dbt text."""
+    sql, dbt = F.try_element_at(facets, F.lit("sql")), F.try_element_at(facets, F.lit("dbt"))
+    return F.when(F.map_contains_key(facets, "sql"), F.get_json_object(sql, "$.query")).otherwise(
+        first_filled(F.get_json_object(dbt, "$.compiled_sql"), F.get_json_object(dbt, "$.raw_sql"))
     )
 
 
+def sql_facet_is_broken(facets: Column) -> Column:
+    """Whether the facet that ``extract_sql`` reads is there but is no object."""
+
+    def broken(name: str) -> Column:
+        return F.map_contains_key(facets, name) & ~is_object(F.try_element_at(facets, F.lit(name)))
+
+    return F.coalesce(broken("sql") | (~F.map_contains_key(facets, "sql") & broken("dbt")), F.lit(False))
+
+
 def extract_schema_fields(output: Column) -> Column:
-    """The schema fields of an output, as a variant; null if absent or empty."""
-    fields = member(output, "$.facets.schema.fields")
+    """The schema fields of an output text, as JSON text; null if absent or empty."""
+    fields = F.get_json_object(output, "$.facets.schema.fields")
     return F.when(is_filled(fields), fields)
 
 
+# What is read of an event of either kind. Texts keep what still has to be judged.
+_EVENT = """eventType string, run struct<runId: string>, job map<string, string>,
+    inputs array<string>, outputs array<string>,
+    source_tables array<string>, target_table string, job_name string,
+    sql_query string, run_id string, job_type_override string, metadata map<string, string>"""
+
+
 def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
     """Parse and route every event; ``payload`` is replaced by the columns it gives.
 
     Adds ``is_openlineage``, ``status``, ``outcome``, ``message``, ``run_id``,
     ``job_name``, ``job_type``, ``sql_query``, ``sources``, ``target``,
-    ``has_schema`` and ``schema_fields``. The parsed columns are null unless the
-    outcome is ``posted``, except that run id and job name are kept wherever read.
+    ``has_schema`` and ``schema_fields`` (JSON text). The parsed columns are null
+    unless the outcome is ``posted``, except that run id and job name are kept
+    wherever read.
     """
-    p = F.col("payload")
-    ol = F.col("is_openlineage")
-    classified = classify_events(unwrapped)
+    p, ol, keys = F.col("payload"), F.col("is_openlineage"), F.col("__keys")
+    seen, to, facets = F.col("__seen"), F.col("__to"), F.col("__facets")
     kept = [c for c in unwrapped.columns if c != "payload"]
 
-    read = classified.withColumns(
+    read = unwrapped.withColumns({"__keys": F.json_object_keys(p), "__seen": F.from_json(p, _EVENT)})
+    # Only the first output of an event is a target; a request names its target itself.
+    read = read.withColumn("is_openlineage", _has_markers(keys)).withColumns(
         {
-            "__object": is_object(p),
-            "__in": F.when(ol, member(p, "$.inputs")).otherwise(member(p, "$.source_tables")),
-            "__out": F.when(ol, member(p, "$.outputs")).otherwise(member(p, "$.target_table")),
-            "__job": F.when(ol, member(p, "$.job.name")).otherwise(member(p, "$.job_name")),
-            "__type": F.coalesce(text(p, "$.eventType"), F.lit("None")),
-            "__job_run_read": is_object(p, "$.run") & is_object(p, "$.job"),
+            "__in": F.when(ol, F.col("__seen.inputs")).otherwise(F.col("__seen.source_tables")),
+            "__to": F.when(ol, F.get("__seen.outputs", F.lit(0))).otherwise(F.col("__seen.target_table")),
+            "__facets": as_map(F.try_element_at("__seen.job", F.lit("facets"))),
         }
     )
-    # Only the first output of an event is a target; a request names its target itself.
-    read = read.withColumn(
-        "__target", F.when(ol, F.get(items(F.col("__out")), F.lit(0))).otherwise(F.col("__out"))
-    )
-    target = F.col("__target")
+    only = F.array(to)
     read = read.withColumns(
         {
-            "__in_filled": is_filled(F.col("__in")),
-            "__out_filled": is_filled(F.col("__out")),
-            "__sources": F.when(
-                ol, F.transform(items(F.col("__in")), lambda d: parse_dataset(d, config))
-            ).otherwise(F.transform(items(F.col("__in")), declared_table)),
-            "__to": F.when(ol, parse_dataset(target, config)).otherwise(declared_table(target)),
+            "__sources": F.when(ol, parse_datasets(F.col("__in"), config)).otherwise(declared_tables(F.col("__in"))),
+            "__target": F.get(F.when(ol, parse_datasets(only, config)).otherwise(declared_tables(only)), F.lit(0)),
         }
     )
-    sources, to = F.col("__sources"), F.col("__to")
-    found = F.filter(sources, lambda s: s.getField("state") == "ok")
-    unreadable = (
+    sources, target = F.col("__sources"), F.col("__target")
+
+    in_text = F.when(ol, F.get_json_object(p, "$.inputs")).otherwise(F.get_json_object(p, "$.source_tables"))
+    in_filled = F.coalesce(F.size("__in") > 0, is_filled(in_text))
+    out_filled = F.when(
+        ol, F.coalesce(F.size("__seen.outputs") > 0, is_filled(F.get_json_object(p, "$.outputs")))
+    ).otherwise(is_filled(to))
+    job_is_broken = F.map_contains_key("__seen.job", "facets") & facets.isNull()
+    output_facets = F.array_contains(F.json_object_keys(to), "facets") & ~is_object(F.get_json_object(to, "$.facets"))
+    broken = (
         sources.isNull()
         | F.exists(sources, lambda s: s.getField("state") == "bad")
-        | target.isNull()
-        | (to.getField("state") == "bad")
+        | (target.getField("state") == "bad")
+        | (ol & F.col("__seen.outputs").isNull())
+        | (ol & (F.coalesce(job_is_broken | output_facets, F.lit(False)) | sql_facet_is_broken(facets)))
     )
-    facets = member(target, "$.facets")
-    broken = unreadable | (
-        ol & (sql_facets_broken(p) | (facets.isNotNull() & ~is_object(facets)))
-    )
-    incomplete = ~F.col("__in_filled") | ~F.col("__out_filled")
+    found = F.filter(sources, lambda s: s.getField("state") == "ok")
+    incomplete = ~in_filled | ~out_filled
     outcome = (
-        F.when(~F.col("__object"), "failed")
-        .when(ol & ~F.col("__job_run_read"), "failed")
-        .when(ol & ~F.col("__type").isin(*EVENT_TYPES), "not_processed")
+        F.when(keys.isNull(), "failed")
+        .when(ol & (F.col("__seen.run").isNull() | F.col("__seen.job").isNull()), "failed")
+        .when(ol & ~F.coalesce(F.col("__seen.eventType"), F.lit("None")).isin(*EVENT_TYPES), "not_processed")
         .when(ol & incomplete, "no_lineage")
-        .when(incomplete | (~ol & ~is_filled(F.col("__job"))), "rejected")
+        .when(incomplete | (~ol & first_filled(F.col("__seen.job_name")).isNull()), "rejected")
         .when(broken, "failed")
-        .when((F.size(found) == 0) | (to.getField("state") == "empty"), "not_parsed")
+        .when((F.size(found) == 0) | (target.getField("state") == "empty"), "not_parsed")
         .otherwise("posted")
     )
-    routed = compute_once(read.withColumn("__found", found), {"outcome": outcome})
-    posted = F.col("outcome") == "posted"
-    is_known = F.col("outcome").isin("posted", "not_processed", "no_lineage", "not_parsed")
-    fields = F.when(ol, extract_schema_fields(target)).otherwise(member(p, "$.metadata.schema"))
-    override = F.when(~ol & is_filled(member(p, "$.job_type_override")), text(p, "$.job_type_override"))
+    routed = compute_once(read, {"outcome": outcome, "__found": found})
+    posted, is_known = F.col("outcome") == "posted", ~F.col("outcome").isin("failed", "rejected")
     message = (
-        F.when(F.col("outcome") == "not_processed", F.format_string(MESSAGE_NOT_PROCESSED, F.col("__type")))
+        F.when(
+            F.col("outcome") == "not_processed",
+            F.format_string(MESSAGE_NOT_PROCESSED, F.coalesce(F.col("__seen.eventType"), F.lit("None"))),
+        )
         .when(F.col("outcome") == "no_lineage", MESSAGE_NO_LINEAGE)
         .when(F.col("outcome") == "not_parsed", MESSAGE_NOT_PARSED)
         .when(F.col("outcome") == "rejected", MESSAGE_REJECTED)
         .when(F.col("outcome") == "failed", _MESSAGE_FAILED)
     )
+    job_name = F.when(ol, F.try_element_at("__seen.job", F.lit("name"))).otherwise(F.col("__seen.job_name"))
+    override = F.when(~ol, first_filled(F.col("__seen.job_type_override")))
+    # A request may declare a schema that is null; an event's schema has to hold fields.
+    fields = F.when(ol, extract_schema_fields(to)).otherwise(F.try_element_at("__seen.metadata", F.lit("schema")))
+    has_schema = F.when(ol, fields.isNotNull()).otherwise(F.map_contains_key("__seen.metadata", "schema"))
 
     def table(parsed: Column) -> Column:
         return F.struct(*(parsed.getField(part).alias(part) for part in TABLE_PARTS))
@@ -221,13 +248,13 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         .alias("status"),
         "outcome",
         message.alias("message"),
-        F.when(is_known, F.when(ol, text(p, "$.run.runId")).otherwise(text(p, "$.run_id"))).alias("run_id"),
-        F.when(is_known, text(F.col("__job"))).alias("job_name"),
+        F.when(is_known, F.when(ol, F.col("__seen.run.runId")).otherwise(F.col("__seen.run_id"))).alias("run_id"),
+        F.when(is_known, job_name).alias("job_name"),
         F.when(posted, F.coalesce(override, F.lit(config.job_integration))).alias("job_type"),
-        F.when(posted, F.when(ol, extract_sql(p)).otherwise(text(p, "$.sql_query"))).alias("sql_query"),
-        F.when(posted, F.transform(F.col("__found"), table)).alias("sources"),
-        F.when(posted, table(to)).alias("target"),
-        (posted & fields.isNotNull()).alias("has_schema"),
+        F.when(posted, F.when(ol, extract_sql(facets)).otherwise(F.col("__seen.sql_query"))).alias("sql_query"),
+        F.when(posted, F.transform("__found", table)).alias("sources"),
+        F.when(posted, table(target)).alias("target"),
+        (posted & F.coalesce(has_schema, F.lit(False))).alias("has_schema"),
         F.when(posted, fields).alias("schema_fields"),
     )
 
@@ -302,7 +329,10 @@ def lineage_documents(
         ).alias("jobType"),
         F.when(first_filled(sql).isNotNull(), facet(SQL_FACET, sql.alias("query"))).alias("sql"),
     )
-    schema = F.when(F.col("has_schema"), facet(SCHEMA_FACET, F.col("schema_fields").alias("fields")))
+    declared = F.coalesce("schema_fields", F.lit("null"))
+    # The fields are put in as the JSON value they are, or as a string if they are none.
+    fields = F.coalesce(F.try_parse_json(declared), declared.cast("variant"))
+    schema = F.when(F.col("has_schema"), facet(SCHEMA_FACET, fields.alias("fields")))
     event = F.struct(
         F.col("event_type").alias("eventType"),
         iso_utc(instant(as_of)).alias("eventTime"),

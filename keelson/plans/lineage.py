@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import derived_run_id
-from ..functions.variants import items, text
+from ..functions.json import as_map
 from ..operators.lineage import (
     LineageConfig,
     accepted_runs,
@@ -23,7 +23,7 @@ from ..operators.lineage import (
     lineage_documents,
     lineage_edges,
     lineage_results,
-    parse_dataset,
+    parse_datasets,
     route_events,
     source_identifier,
     unwrap_events,
@@ -88,7 +88,12 @@ _RAW = """CASE WHEN event_type = 'purchase' THEN '{"body":"' || replace(payload,
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id`` and ``raw``, one for each row of ``events``."""
-    events = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = load(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        # Reading an event costs far more than moving it: a small file must not be one task.
+        events = events.repartition(cores, "event_id")
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     texts = events.selectExpr("event_id", "event_type", "k", f"{_PAYLOAD} AS payload")
     return texts.selectExpr("event_id", f"{_RAW} AS raw")
 
@@ -230,7 +235,7 @@ def ol_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN NOT bad AND NOT empty THEN "table" END AS table_name FROM inputs""",
 )
 def ol_dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = F.transform(items(F.col("payload"), "$.inputs"), lambda d: parse_dataset(d, CONFIG))
+    parsed = parse_datasets(F.from_json("payload", "inputs array<string>").getField("inputs"), CONFIG)
     events = classify_events(_unwrapped(spark, sf_dir)).where("is_openlineage")
     inputs = events.select("event_id", F.posexplode(parsed).alias("position", "d"))
     ok = F.col("d.state") == "ok"
@@ -246,7 +251,8 @@ def ol_dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ol_sql_facet", _ROUTE_SQL + "SELECT event_id, sql_query FROM sql_texts JOIN events_read USING (event_id) WHERE ol")
 def ol_sql_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = classify_events(_unwrapped(spark, sf_dir)).where("is_openlineage")
-    return events.select("event_id", extract_sql(F.col("payload")).alias("sql_query"))
+    facets = as_map(F.get_json_object("payload", "$.job.facets"))
+    return events.select("event_id", extract_sql(facets).alias("sql_query"))
 
 
 @register(
@@ -259,10 +265,9 @@ def ol_sql_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ol_schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = classify_events(_unwrapped(spark, sf_dir)).where("is_openlineage")
-    first = F.get(items(F.col("payload"), "$.outputs"), F.lit(0))
-    fields = events.select("event_id", F.posexplode(items(extract_schema_fields(first))).alias("position", "f"))
-    f = F.col("f")
-    return fields.select("event_id", "position", text(f, "$.name").alias("name"), text(f, "$.type").alias("type"))
+    first = F.get_json_object("payload", "$.outputs[0]")
+    fields = F.from_json(extract_schema_fields(first), "array<struct<name: string, type: string>>")
+    return events.select("event_id", F.posexplode(fields).alias("position", "f")).select("event_id", "position", "f.*")
 
 
 @register(
