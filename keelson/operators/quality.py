@@ -12,6 +12,9 @@ from ..functions.expressions import truncated_percentage
 from .columns import instant
 from .joins import quoted, spread_join
 
+_EVALUATIONS = (
+    "array<struct<types: array<string>, description: string, status: string, applicableFields: array<string>>>"
+)
 _NAME, _ID = "__lower_name", "__asset_id"
 
 
@@ -74,7 +77,7 @@ def evaluate_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] =
             )
         )
     grouped = df.groupBy(*map(quoted, by)).agg(*counters)
-    return grouped.select(*map(quoted, by), F.array(*evaluations).alias("evaluations"))
+    return grouped.select(*map(quoted, by), F.array(*evaluations).cast(_EVALUATIONS).alias("evaluations"))
 
 
 def run_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ from .columns import conform
 from .joins import distinct_keys, quoted, spread_join, without_null_keys
 from .latest import latest_per_key
 
-_COUNT, _ROW, _HIT = "__source_count", "__source_row", "__hit"
+_COUNT, _ROW = "__count", "__source_row"
 
 
 class Upsert(NamedTuple):
@@ -132,30 +132,27 @@ def merge_upsert(
             for c in target.columns
         )
     )
-    # Semi join first: only the touched keys of a large target go on to the anti join.
-    touched = keep_matching(target.select(*map(quoted, keys)), source, keys)
+    # Only the target keys that the source touches go on to the anti join. Both sides
+    # hold a key once, so no key is hot; a small source is broadcast below the distinct.
+    touched = distinct_keys(target, keys).join(distinct_keys(source, keys), list(keys), "left_semi")
     inserted = delete_matching(source, touched, keys)
     return insert_partial(updated, inserted)
 
 
 def upsert_metrics(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: ``deleted``, ``inserted`` and ``total_in_target`` of ``delete_insert``."""
-    flagged = distinct_keys(source, keys).withColumn(_HIT, F.lit(True))
-    marked = spread_join(target.select(*map(quoted, keys)), flagged, keys, "left")
-    hit = F.col(_HIT).isNotNull()
-    before = marked.agg(
-        F.count_if(hit).alias("deleted"), F.lit(0).cast("bigint").alias("inserted"), F.count_if(~hit).alias("kept")
-    )
-    added = source.agg(
-        F.lit(0).cast("bigint").alias("deleted"),
-        F.count(F.lit(1)).alias("inserted"),
-        F.lit(0).cast("bigint").alias("kept"),
-    )
-    return before.unionByName(added).agg(
-        F.sum("deleted").alias("deleted"),
-        F.sum("inserted").alias("inserted"),
-        (F.sum("kept") + F.sum("inserted")).alias("total_in_target"),
-    )
+    # Target rows are counted by key before they meet the source, so a hot key is one
+    # row. Spark moves the semi join below the counting where it broadcasts the source.
+    by_key = target.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias(_COUNT))
+    matched = by_key.join(distinct_keys(source, keys), list(keys), "left_semi")
+
+    def counts(df: DataFrame, deleted: Column, inserted: Column, total: Column) -> DataFrame:
+        return df.agg(deleted.alias("deleted"), inserted.alias("inserted"), total.alias("total_in_target"))
+
+    none, rows, gone = F.lit(0).cast("bigint"), F.count(F.lit(1)), F.coalesce(F.sum(_COUNT), F.lit(0).cast("bigint"))
+    parts = counts(matched, gone, none, -gone).unionByName(counts(source, none, rows, rows))
+    parts = parts.unionByName(counts(target, none, none, rows))
+    return counts(parts, F.sum("deleted"), F.sum("inserted"), F.sum("total_in_target"))
 
 
 def high_mark(target: DataFrame, column: str) -> Column | None:
