@@ -127,7 +127,9 @@ def update_less_than(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = load(spark, sf_dir, "supplier")
-    rows = spark.createDataFrame([(10.5, -1, "A", 1), (None, -2, "B", 2)], "s_acctbal double, s_suppkey int, s_name string, s_nationkey int")
+    rows = spark.sql(
+        "SELECT * FROM VALUES (10.5D, -1, 'A', 1), (NULL, -2, 'B', 2) AS t(s_acctbal, s_suppkey, s_name, s_nationkey)"
+    )
     return supplier.unionByName(conform(rows, supplier.schema))
 
 

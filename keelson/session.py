@@ -17,8 +17,6 @@ SETTINGS = {
     "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
     "spark.sql.parquet.int96RebaseModeInRead": "CORRECTED",
     "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
-    # A repeated key in a JSON object keeps its last value instead of failing the row.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

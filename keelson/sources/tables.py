@@ -77,7 +77,8 @@ def overwrite(df: DataFrame, name: str) -> str:
 def replace(df: DataFrame, name: str) -> None:
     """Create the table from a query, or give it that query's columns and rows.
 
-    The rows are complete before the catalog entry changes.
+    The rows are complete before the catalog entry changes. If the columns differ the
+    entry is dropped and made anew, and for that moment the name is absent.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):

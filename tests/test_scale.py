@@ -56,6 +56,13 @@ def test_a_hot_target_key_is_split(small_tasks, hot, source, name):
     assert "SortMergeJoin(skew=true)" in final_plan(run())
 
 
+def test_hot_null_keys_are_split(small_tasks, hot, source):
+    nulls = hot.withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    result = merge_upsert(nulls, source, ["k"])
+    assert "SortMergeJoin(skew=true)" in final_plan(result)
+    assert result.count() == 68_000 and result.where("k IS NULL").count() == 30_000
+
+
 def test_results_under_skew_are_whole(small_tasks, hot, source):
     assert delete_matching(hot, source, ["k"]).count() == 60_000 - 12_000
     assert keep_matching(hot, source, ["k"]).count() == 12_000
