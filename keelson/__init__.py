@@ -26,6 +26,7 @@ from .operators.quality import (
     score_checks,
 )
 from .operators.rowlevel import (
+    change_in_key_range,
     count_unstamped,
     delete_insert,
     delete_matching,
@@ -68,6 +69,7 @@ __all__ = [
     "allowed_values",
     "append",
     "build_session",
+    "change_in_key_range",
     "classify_events",
     "column_exists",
     "compare_counts",

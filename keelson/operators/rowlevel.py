@@ -7,7 +7,7 @@ nothing: such target rows stay and such source rows are inserted.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -27,8 +27,12 @@ class Upsert(NamedTuple):
 
 
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
-    """Drop the rows where the predicate is true; null counts as not true."""
-    return df.where(~F.coalesce(predicate, F.lit(False)))
+    """Drop the rows where the predicate is true; null counts as not true.
+
+    Written so that a comparison with a literal reaches the scan, which can then
+    skip row groups that hold only rows to drop.
+    """
+    return df.where(~predicate | predicate.isNull())
 
 
 def update_where(df: DataFrame, predicate: Column, sets: Mapping[str, Any]) -> DataFrame:
@@ -155,20 +159,51 @@ def upsert_metrics(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return counts(parts, F.sum("deleted"), F.sum("inserted"), F.sum("total_in_target"))
 
 
-def high_mark(target: DataFrame, column: str) -> Column | None:
-    """The greatest value of a column as a literal of its type; None if there is none.
+def _as_literals(df: DataFrame, column: str, *aggregates: Callable[[Column], Column]) -> list[Column] | None:
+    """Aggregates of a column as literals of its type; None if the column has no value.
 
-    One value comes to the driver. As a literal it can be pushed to a scan. Going
-    through text, or microseconds for zoned timestamps, keeps it exact and free of
-    the driver's time zone.
+    Only these values come to the driver, and as literals they can be pushed to a
+    scan. Going through text, or microseconds for zoned timestamps, keeps them exact
+    and free of the driver's time zone.
     """
-    data_type = target.select(quoted(column)).schema[0].dataType
-    greatest = F.max(quoted(column))
+    data_type = df.select(quoted(column)).schema[0].dataType
     zoned = isinstance(data_type, T.TimestampType)
-    mark = target.agg((F.unix_micros(greatest) if zoned else greatest.cast("string")).alias("mark")).first()["mark"]
-    if mark is None:
+
+    def encoded(value: Column) -> Column:
+        return F.unix_micros(value) if zoned else value.cast("string")
+
+    values = df.agg(*(encoded(a(quoted(column))).alias(str(i)) for i, a in enumerate(aggregates))).first()
+    if values[0] is None:
         return None
-    return F.timestamp_micros(F.lit(mark)) if zoned else F.lit(mark).cast(data_type)
+    return [F.timestamp_micros(F.lit(v)) if zoned else F.lit(v).cast(data_type) for v in values]
+
+
+def high_mark(target: DataFrame, column: str) -> Column | None:
+    """The greatest value of a column as a literal; None if there is none."""
+    marks = _as_literals(target, column, F.max)
+    return marks[0] if marks else None
+
+
+def change_in_key_range(
+    target: DataFrame, source: DataFrame, key: str, change: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``change`` of the target rows that a source row can match, plus all the others.
+
+    The others have no key or one outside the range of the source's keys; they take
+    no part in the join and are not shuffled. Where the table's layout follows the
+    key, as with recent orders, that is most of a large table. The source is read
+    once for its range and must not change afterwards.
+    """
+    ordered = (T.IntegralType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not isinstance(source.select(quoted(key)).schema[0].dataType, ordered):
+        return change(target)
+    bounds = _as_literals(source, key, F.min, F.max)
+    if bounds is None:
+        return change(target)
+    low, high = bounds
+    near = quoted(key).between(low, high)
+    far = (quoted(key) < low) | (quoted(key) > high) | quoted(key).isNull()
+    return target.where(far).unionByName(change(target.where(near)))
 
 
 def incremental_extract(source: DataFrame, target: DataFrame, column: str) -> DataFrame:

@@ -13,11 +13,10 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..operators.columns import conform
-from ..operators.rowlevel import delete_insert, high_mark, merge_upsert
-from ..operators.joins import quoted
+from ..operators.rowlevel import change_in_key_range, delete_insert, incremental_extract, merge_upsert
 from ..operators.validation import compare_counts
 from ..session import scratch_path
 
@@ -140,7 +139,12 @@ def load_table(
     mode = mode or ("merge" if keys else "append")
     if not create_from(source, name, location):
         if mode == "merge" and keys:
-            rewrite(spark, name, lambda target: merge_upsert(target, source, keys))
+            staged = _stage(source)
+            rewrite(
+                spark,
+                name,
+                lambda target: change_in_key_range(target, staged, keys[0], lambda t: merge_upsert(t, staged, keys)),
+            )
         else:
             append(source, name)
     return spark.table(name).count()
@@ -156,14 +160,11 @@ def upsert_table(source: DataFrame, name: str, keys: Sequence[str]) -> dict[str,
     """``delete_insert`` into a table, all or nothing; counts of rows deleted, inserted and held."""
     spark = source.sparkSession
     target = spark.table(name)
-    # The source feeds the key list, the insert and the counts: read it once, so
-    # that all three see the same rows.
-    staged_path = scratch_path(spark)
-    _write(conform(source, target.schema), staged_path)
-    staged = spark.read.schema(target.schema).parquet(staged_path)
+    staged = _stage(conform(source, target.schema))
     before, inserted = target.count(), staged.count()
     if inserted:
-        publish(delete_insert(target, staged, keys), name)
+        changed = change_in_key_range(target, staged, keys[0], lambda t: delete_insert(t, staged, keys))
+        publish(conform(changed, target.schema), name)
     total = spark.table(name).count()
     return {"deleted": before + inserted - total, "inserted": inserted, "total_in_target": total}
 
@@ -176,9 +177,18 @@ def incremental_upsert_table(
     if create_from(source, name):
         total = spark.table(name).count()
         return {"deleted": 0, "inserted": total, "total_in_target": total}
-    mark: Column | None = high_mark(spark.table(name), column)
-    new_rows = source if mark is None else source.where(quoted(column) > mark)
-    return upsert_table(new_rows, name, keys)
+    return upsert_table(incremental_extract(source, spark.table(name), column), name, keys)
+
+
+def _stage(source: DataFrame) -> DataFrame:
+    """The source, written to the scratch folder.
+
+    A change reads its source several times, for the keys, the new rows and the
+    counts. From here all of them see the same rows, also when tasks run again.
+    """
+    path = scratch_path(source.sparkSession)
+    _write(source, path)
+    return source.sparkSession.read.schema(source.schema).parquet(path)
 
 
 def _describe(spark: SparkSession, name: str) -> dict:

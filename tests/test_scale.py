@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators.latest import latest_per_key
-from keelson.operators.rowlevel import delete_insert, delete_matching, incremental_extract, keep_matching, merge_upsert, upsert_metrics
+from keelson.operators.rowlevel import change_in_key_range, delete_insert, delete_matching, delete_where, incremental_extract, keep_matching, merge_upsert, upsert_metrics
 from keelson.operators.quality import resolve_assets
 
 SMALL_TASKS = {
@@ -118,6 +118,46 @@ def test_the_high_mark_reaches_the_scan(spark, tmp_path):
     assert extract.count() == 499
 
 
+def test_rows_outside_the_key_range_are_not_shuffled(spark, small_tasks, tmp_path, rows):
+    target_path, source_path = str(tmp_path / "t"), str(tmp_path / "s")
+    some = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") != 3, F.col("id")).alias("k"), F.lit("old").alias("v"))
+    some.write.parquet(target_path)
+    spark.range(990, 1010).select(F.col("id").alias("k"), F.lit("new").alias("v")).write.parquet(source_path)
+    target, source = spark.read.parquet(target_path), spark.read.parquet(source_path)
+    for change in (lambda t: delete_insert(t, source, ["k"]), lambda t: merge_upsert(t, source, ["k"])):
+        ranged = change_in_key_range(target, source, "k", change)
+        assert rows(ranged) == rows(change(target))
+        plan = ranged._jdf.queryExecution().executedPlan().toString()
+        assert "Or(Or(LessThan(k,990),GreaterThan(k,1009)),IsNull(k))" in plan
+        assert "GreaterThanOrEqual(k,990), LessThanOrEqual(k,1009)" in plan
+    nothing = source.where("k IS NULL")
+    assert change_in_key_range(target, nothing, "k", lambda t: delete_insert(t, nothing, ["k"])).count() == 1000
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "decimal(12,2)", "smallint", "double", "binary"])
+def test_key_ranges_of_every_type(spark, rows, kind):
+    def keyed(low, high, v):
+        n = F.col("id")
+        by_kind = {"string": F.concat(F.lit("k'"), n.cast("string")), "binary": n.cast("string").cast("binary")}
+        day = F.date_add(F.lit("2024-10-20").cast("date"), n.cast("int"))
+        key = by_kind.get(kind, day if "date" in kind or "time" in kind else n)
+        return spark.range(low, high).select(key.cast(kind).alias("k"), F.lit(v).alias("v"))
+
+    target, source = keyed(0, 20, "old"), keyed(15, 25, "new")
+    change = lambda t: delete_insert(t, source, ["k"])
+    result = change_in_key_range(target, source, "k", change)
+    assert rows(result) == rows(change(target)) and result.count() == 25
+
+
+def test_a_delete_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(F.when(F.col("id") > 2, F.col("id")).alias("id"), F.lit("x").alias("pad")).write.parquet(path)
+    kept = delete_where(spark.read.parquet(path), F.col("id") < 50)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Or(GreaterThanOrEqual(id,50),IsNull(id))" in plan
+    assert kept.count() == 53
+
+
 def test_metrics_read_only_keys(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).select("id", F.lit("x").alias("pad")).write.parquet(path)
