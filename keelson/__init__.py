@@ -55,6 +55,7 @@ from .sources.tables import (
     load_table,
     overwrite,
     publish,
+    remove_previous,
     replace,
     rewrite,
     upsert_table,
@@ -105,6 +106,7 @@ __all__ = [
     "quality_points",
     "read_csv_inferred",
     "read_table_files",
+    "remove_previous",
     "replace",
     "resolve_assets",
     "rewrite",

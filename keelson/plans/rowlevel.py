@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.columns import conform
 from ..operators.latest import latest_per_key
 from ..operators.rowlevel import (
+    change_in_key_range,
     count_unstamped,
     delete_insert,
     delete_matching,
@@ -160,7 +161,7 @@ _MERGE_ORDERS = """
 """
 
 
-def _merge_orders(base: DataFrame) -> DataFrame:
+def _order_states(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     target = base.where(F.col("o_orderdate") < _at("2001-01-01 00:00:00"))
     source = base.where(F.col("o_orderdate") >= _at("2000-07-01 00:00:00")).withColumns(
         {
@@ -169,12 +170,18 @@ def _merge_orders(base: DataFrame) -> DataFrame:
             "o_orderpriority": F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")),
         }
     )
-    return merge_upsert(target, source, ["o_orderkey"])
+    return target, source
 
 
 @register("merge_upsert", _MERGE_ORDERS.format(base=f"SELECT {ORDER_COLUMNS} FROM orders"))
 def merge_upsert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merge_orders(load(spark, sf_dir, "orders"))
+    return merge_upsert(*_order_states(load(spark, sf_dir, "orders")), ["o_orderkey"])
+
+
+@register("merge_in_key_range", _MERGE_ORDERS.format(base=f"SELECT {ORDER_COLUMNS} FROM orders"))
+def merge_in_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, source = _order_states(load(spark, sf_dir, "orders"))
+    return change_in_key_range(target, source, "o_orderkey", lambda t: merge_upsert(t, source, ["o_orderkey"]))
 
 
 @register(
@@ -186,7 +193,8 @@ def merge_upsert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    return _merge_orders(load(spark, sf_dir, "orders").withColumn("o_orderkey", F.when(~urgent, F.col("o_orderkey"))))
+    orders = load(spark, sf_dir, "orders").withColumn("o_orderkey", F.when(~urgent, F.col("o_orderkey")))
+    return merge_upsert(*_order_states(orders), ["o_orderkey"])
 
 
 @register(

@@ -4,14 +4,15 @@ Stock Spark tables take no row-level statements and cannot be overwritten by a
 query that reads them. So new contents go to a new folder next to the old one,
 and become current when they are complete: ``publish``. A failure before that
 leaves the table as it was. One writer at a time; old folders stay, for readers
-that still use them, until the owner removes them.
+that still use them, until ``remove_previous``.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -105,6 +106,18 @@ def publish(df: DataFrame, name: str) -> str:
     return previous
 
 
+def remove_previous(spark: SparkSession, name: str, previous: str) -> None:
+    """Delete the folder that a change of the table replaced, once no reader needs it.
+
+    Refuses a folder that is the table's own, or does not lie next to it.
+    """
+    current = table_location(spark, name).rstrip("/")
+    previous = previous.rstrip("/")
+    if previous == current or previous.rsplit("/", 1)[0] != current.rsplit("/", 1)[0]:
+        raise ValueError(f"{previous} is not a folder that {name} has left")
+    _delete(spark, previous)
+
+
 def rewrite(spark: SparkSession, name: str, change: Callable[[DataFrame], DataFrame]) -> str:
     """Apply a row-level operator to a table, all or nothing.
 
@@ -139,12 +152,14 @@ def load_table(
     mode = mode or ("merge" if keys else "append")
     if not create_from(source, name, location):
         if mode == "merge" and keys:
-            staged = _stage(source)
-            rewrite(
-                spark,
-                name,
-                lambda target: change_in_key_range(target, staged, keys[0], lambda t: merge_upsert(t, staged, keys)),
-            )
+            with _staged(source) as staged:
+                rewrite(
+                    spark,
+                    name,
+                    lambda target: change_in_key_range(
+                        target, staged, keys[0], lambda t: merge_upsert(t, staged, keys)
+                    ),
+                )
         else:
             append(source, name)
     return spark.table(name).count()
@@ -160,11 +175,11 @@ def upsert_table(source: DataFrame, name: str, keys: Sequence[str]) -> dict[str,
     """``delete_insert`` into a table, all or nothing; counts of rows deleted, inserted and held."""
     spark = source.sparkSession
     target = spark.table(name)
-    staged = _stage(conform(source, target.schema))
-    before, inserted = target.count(), staged.count()
-    if inserted:
-        changed = change_in_key_range(target, staged, keys[0], lambda t: delete_insert(t, staged, keys))
-        publish(conform(changed, target.schema), name)
+    with _staged(conform(source, target.schema)) as staged:
+        before, inserted = target.count(), staged.count()
+        if inserted:
+            changed = change_in_key_range(target, staged, keys[0], lambda t: delete_insert(t, staged, keys))
+            publish(conform(changed, target.schema), name)
     total = spark.table(name).count()
     return {"deleted": before + inserted - total, "inserted": inserted, "total_in_target": total}
 
@@ -180,15 +195,25 @@ def incremental_upsert_table(
     return upsert_table(incremental_extract(source, spark.table(name), column), name, keys)
 
 
-def _stage(source: DataFrame) -> DataFrame:
-    """The source, written to the scratch folder.
+@contextmanager
+def _staged(source: DataFrame) -> Iterator[DataFrame]:
+    """The source, written to the scratch folder until the change is done.
 
     A change reads its source several times, for the keys, the new rows and the
     counts. From here all of them see the same rows, also when tasks run again.
     """
-    path = scratch_path(source.sparkSession)
-    _write(source, path)
-    return source.sparkSession.read.schema(source.schema).parquet(path)
+    spark = source.sparkSession
+    path = scratch_path(spark)
+    try:
+        _write(source, path)
+        yield spark.read.schema(source.schema).parquet(path)
+    finally:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _describe(spark: SparkSession, name: str) -> dict:

@@ -1,10 +1,13 @@
 """Catalog tables: creation, loads, all-or-nothing rewrites."""
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from keelson.operators.rowlevel import delete_where, merge_upsert, update_where
+from keelson.session import scratch_path
 from keelson.sources import tables
 
 SCHEMA = "id int, name string, stamp int"
@@ -142,3 +145,31 @@ def test_partitioned_tables_are_refused(spark, table):
     frame(spark, (1, "a", 1)).write.partitionBy("stamp").saveAsTable(name)
     with pytest.raises(ValueError, match="partitioned"):
         tables.rewrite(spark, name, lambda t: t)
+
+
+def test_old_folders_can_be_removed(spark, table, rows):
+    name, other = table(), table()
+    tables.create_from(frame(spark, (1, "a", 1), (2, "b", 2)), name)
+    tables.create_from(frame(spark, (3, "c", 3)), other, scratch_path(spark))
+    previous = tables.rewrite(spark, name, lambda t: delete_where(t, F.col("id") == 2))
+    assert spark.read.parquet(previous).count() == 2
+    tables.remove_previous(spark, name, previous)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(previous).count()
+    for wrong in (tables.table_location(spark, name), tables.table_location(spark, other), "file:/tmp"):
+        with pytest.raises(ValueError):
+            tables.remove_previous(spark, name, wrong)
+    assert rows(spark.table(name)) == [(1, "a", 1)] and spark.table(other).count() == 1
+
+
+def test_a_staged_source_is_removed(spark, table):
+    name = table()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or scratch_path(spark).rsplit("/", 1)[0]
+    tables.create_from(frame(spark, (1, "a", 1)), name)
+    before = set(os.listdir(shared))
+    tables.upsert_table(frame(spark, (1, "x", 2)), name, ["id"])
+    tables.load_table(frame(spark, (1, "y", 3)), name, "id")
+    with pytest.raises(PySparkException):
+        tables.load_table(frame(spark, (1, "p", 3), (1, "q", 3)), name, "id")
+    assert set(os.listdir(shared)) == before
+    assert spark.table(name).first()["name"] == "y"
