@@ -58,8 +58,10 @@ def unwrap_events(events: DataFrame, raw: str = "raw") -> DataFrame:
     """
     text = F.col(raw)
     body = F.get_json_object(text, "$.body")
+    # A key called body shows in the text, unless it is written with escapes.
+    may_have_body = text.contains("body") | text.contains("\\u")
     payload = (
-        F.when(F.array_contains(F.json_object_keys(text), "body"), whole(F.coalesce(body, F.lit("null"))))
+        F.when(may_have_body & F.array_contains(F.json_object_keys(text), "body"), whole(F.coalesce(body, F.lit("null"))))
         .when(F.ltrim(text).startswith('"'), whole(F.get_json_object(text, "$")))
         .otherwise(text)
     )
@@ -133,10 +135,11 @@ def declared_tables(tables: Column) -> Column:
 
 def extract_sql(facets: Column) -> Column:
     """Query text from the map of job facets: of ``sql`` if it is there, else compiled or raw dbt text."""
-    sql, dbt = F.try_element_at(facets, F.lit("sql")), F.try_element_at(facets, F.lit("dbt"))
-    return F.when(F.map_contains_key(facets, "sql"), F.get_json_object(sql, "$.query")).otherwise(
-        first_filled(F.get_json_object(dbt, "$.compiled_sql"), F.get_json_object(dbt, "$.raw_sql"))
-    )
+    sql = F.get_json_object(F.try_element_at(facets, F.lit("sql")), "$.query")
+    dbt = F.from_json(F.try_element_at(facets, F.lit("dbt")), "compiled_sql string, raw_sql string")
+    # The lambda names the parsed facet, so that it is parsed once.
+    from_dbt = F.transform(F.array(dbt), lambda d: first_filled(d.getField("compiled_sql"), d.getField("raw_sql")))
+    return F.when(F.map_contains_key(facets, "sql"), sql).otherwise(F.get(from_dbt, F.lit(0)))
 
 
 def sql_facet_is_broken(facets: Column) -> Column:
@@ -148,10 +151,10 @@ def sql_facet_is_broken(facets: Column) -> Column:
     return F.coalesce(broken("sql") | (~F.map_contains_key(facets, "sql") & broken("dbt")), F.lit(False))
 
 
-def extract_schema_fields(output: Column) -> Column:
-    """The schema fields of an output text, as JSON text; null if absent or empty."""
-    fields = F.get_json_object(output, "$.facets.schema.fields")
-    return F.when(is_filled(fields), fields)
+def extract_schema_fields(output_facets: Column) -> Column:
+    """The schema fields among the facets of an output, as JSON text; null if absent or empty."""
+    fields = F.get_json_object(output_facets, "$.schema.fields")
+    return F.get(F.filter(F.array(fields), is_filled), F.lit(0))
 
 
 # What is read of an event of either kind. Texts keep what still has to be judged.
@@ -188,9 +191,10 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         {
             "__sources": F.when(ol, parse_datasets(F.col("__in"), config)).otherwise(declared_tables(F.col("__in"))),
             "__target": F.get(F.when(ol, parse_datasets(only, config)).otherwise(declared_tables(only)), F.lit(0)),
+            "__out_facets": F.when(ol, F.get_json_object(to, "$.facets")),
         }
     )
-    sources, target = F.col("__sources"), F.col("__target")
+    sources, target, out_facets = F.col("__sources"), F.col("__target"), F.col("__out_facets")
 
     in_text = F.when(ol, F.get_json_object(p, "$.inputs")).otherwise(F.get_json_object(p, "$.source_tables"))
     in_filled = F.coalesce(F.size("__in") > 0, is_filled(in_text))
@@ -198,13 +202,15 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         ol, F.coalesce(F.size("__seen.outputs") > 0, is_filled(F.get_json_object(p, "$.outputs")))
     ).otherwise(is_filled(to))
     job_is_broken = F.map_contains_key("__seen.job", "facets") & facets.isNull()
-    output_facets = F.array_contains(F.json_object_keys(to), "facets") & ~is_object(F.get_json_object(to, "$.facets"))
+    output_is_broken = F.when(out_facets.isNotNull(), ~is_object(out_facets)).otherwise(
+        F.array_contains(F.json_object_keys(to), "facets")
+    )
     broken = (
         sources.isNull()
         | F.exists(sources, lambda s: s.getField("state") == "bad")
         | (target.getField("state") == "bad")
         | (ol & F.col("__seen.outputs").isNull())
-        | (ol & (F.coalesce(job_is_broken | output_facets, F.lit(False)) | sql_facet_is_broken(facets)))
+        | (ol & (F.coalesce(job_is_broken, F.lit(False)) | F.coalesce(output_is_broken, F.lit(False)) | sql_facet_is_broken(facets)))
     )
     found = F.filter(sources, lambda s: s.getField("state") == "ok")
     incomplete = ~in_filled | ~out_filled
@@ -218,7 +224,11 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         .when((F.size(found) == 0) | (target.getField("state") == "empty"), "not_parsed")
         .otherwise("posted")
     )
-    routed = compute_once(read, {"outcome": outcome, "__found": found})
+    # A request may declare a schema that is null; an event's schema has to hold fields.
+    fields = F.when(ol, extract_schema_fields(out_facets)).otherwise(
+        F.try_element_at("__seen.metadata", F.lit("schema"))
+    )
+    routed = compute_once(read, {"outcome": outcome, "__found": found, "__fields": fields})
     posted, is_known = F.col("outcome") == "posted", ~F.col("outcome").isin("failed", "rejected")
     message = (
         F.when(
@@ -232,9 +242,7 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
     )
     job_name = F.when(ol, F.try_element_at("__seen.job", F.lit("name"))).otherwise(F.col("__seen.job_name"))
     override = F.when(~ol, first_filled(F.col("__seen.job_type_override")))
-    # A request may declare a schema that is null; an event's schema has to hold fields.
-    fields = F.when(ol, extract_schema_fields(to)).otherwise(F.try_element_at("__seen.metadata", F.lit("schema")))
-    has_schema = F.when(ol, fields.isNotNull()).otherwise(F.map_contains_key("__seen.metadata", "schema"))
+    has_schema = F.when(ol, F.col("__fields").isNotNull()).otherwise(F.map_contains_key("__seen.metadata", "schema"))
 
     def table(parsed: Column) -> Column:
         return F.struct(*(parsed.getField(part).alias(part) for part in TABLE_PARTS))
@@ -255,7 +263,7 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
         F.when(posted, F.transform("__found", table)).alias("sources"),
         F.when(posted, table(target)).alias("target"),
         (posted & F.coalesce(has_schema, F.lit(False))).alias("has_schema"),
-        F.when(posted, fields).alias("schema_fields"),
+        F.when(posted, F.col("__fields")).alias("schema_fields"),
     )
 
 

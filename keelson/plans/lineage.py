@@ -265,8 +265,8 @@ def ol_sql_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ol_schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = classify_events(_unwrapped(spark, sf_dir)).where("is_openlineage")
-    first = F.get_json_object("payload", "$.outputs[0]")
-    fields = F.from_json(extract_schema_fields(first), "array<struct<name: string, type: string>>")
+    facets = F.get_json_object("payload", "$.outputs[0].facets")
+    fields = F.from_json(extract_schema_fields(facets), "array<struct<name: string, type: string>>")
     return events.select("event_id", F.posexplode(fields).alias("position", "f")).select("event_id", "position", "f.*")
 
 
