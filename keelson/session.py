@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,12 +32,9 @@ def build_session(app_name: str = "keelson", **overrides: str) -> SparkSession:
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local session may fall back to a folder of its own machine.
+    Where it is unset the path lies in the warehouse, which every executor reaches too.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
