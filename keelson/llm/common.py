@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keelson.operators.joins import quoted, spread_join
 from keelson.session import scratch_path
@@ -84,7 +86,23 @@ def _checksum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("bigint"))).first())
 
 
-def batches(columns: Sequence[str], make) -> "callable":
+def shared_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` inside tasks; it is broadcast once and read once a task.
+
+    Only for values of bounded size.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    read = []
+
+    def get() -> object:
+        if not read:
+            read.append(pickle.loads(sent.value))
+        return read[0]
+
+    return get
+
+
+def batches(columns: Sequence[str], make) -> Callable:
     """A ``mapInArrow`` function that calls ``make`` with one list per column of a batch.
 
     Texts come as bytes. ``make`` returns an iterable of record batches.
@@ -101,4 +119,4 @@ def batches(columns: Sequence[str], make) -> "callable":
     return run
 
 
-__all__ = ["WORD", "batches", "components", "hash_sample", "picked", "quoted", "scratch_path", "spread_join", "stored", "texts_as_bytes", "words"]
+__all__ = ["WORD", "batches", "components", "hash_sample", "picked", "quoted", "scratch_path", "shared_value", "spread_join", "stored", "texts_as_bytes", "words"]
