@@ -1,6 +1,6 @@
 """Imports the operators, which register their queries."""
 
-from . import language, mixing, quality, secrets, simhash  # noqa: F401
+from . import embeddings, language, licenses, mixing, quality, secrets, simhash  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
