@@ -30,10 +30,13 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared scratch folder and read back.
 
-    It cuts the lineage, survives lost executors and is computed once.
+    It cuts the lineage, survives lost executors and is computed once. The shuffle files
+    behind it are then of no use; Spark removes them when the driver collects its garbage,
+    which is asked for here so that they do not pile up over the steps of a job.
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
