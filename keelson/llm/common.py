@@ -35,7 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     which is asked for here so that they do not pile up over the steps of a job.
     """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
