@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -36,7 +37,9 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round only finds what the second can free
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
