@@ -1,6 +1,6 @@
 """Imports the operators, which register their queries."""
 
-from . import embeddings, language, licenses, lines, mixing, quality, secrets, simhash, substrings  # noqa: F401
+from . import decontamination, embeddings, language, licenses, lines, mixing, quality, secrets, simhash, substrings  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
