@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import hash_sample, picked, quoted, shared_value, stored, texts_as_bytes
 from .registry import load, register
 
-DIMS = 1 << 16  # counters of words; a fixed size, whatever the vocabulary
-RANK, EXTRA = 48, 16  # dimensions of the latent space, and those more that the sketch has
+DIMS = 1 << 15  # counters of words; a fixed size, whatever the vocabulary
+RANK, EXTRA = 48, 8  # dimensions of the latent space, and those more that the sketch has
 HOP = 4  # words of a block; windows start and end with one
 PASSAGE = 48  # words of a passage that the space is learned from
 SAMPLE = 2000  # documents, and as many benchmark items, that the space is learned from
@@ -43,8 +43,8 @@ def word_slots(text: Column) -> Column:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each counter, over all documents."""
-    slots = F.explode(F.array_distinct(word_slots(F.col("text")))).alias("slot")
-    counted = docs.select(slots).groupBy("slot").agg(F.count("*").alias("n")).toPandas()
+    slots = F.explode_outer(F.array_distinct(word_slots(F.col("text")))).alias("slot")  # outer: no second computation for a filter
+    counted = docs.select(slots).where("slot is not null").groupBy("slot").agg(F.count("*").alias("n")).toPandas()
     held = np.zeros(DIMS)
     held[counted["slot"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
     return np.log((1 + docs.count()) / (1 + held)).clip(0.05)
@@ -67,7 +67,7 @@ def _sketch(get, idf: np.ndarray):
         touched = np.flatnonzero(total.any(axis=1))
         for start in range(0, len(touched), 4096):
             own = touched[start : start + 4096]
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(total[own].reshape(-1)), basis.shape[1]).cast(pa.list_(pa.float64()))
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(total[own].astype(np.float32).reshape(-1)), basis.shape[1]).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array(own), rows], ["slot", "v"])
 
     return run
@@ -88,13 +88,13 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, sample: int
     texts = stored(
         hash_sample(docs.where("text is not null"), ["doc_id"], sample).select(word_slots(F.col("text")).alias("slots")).union(
             hash_sample(items.where("text is not null"), ["item_id", "text"], sample).select(word_slots(F.col("text")))
-        ).repartition(6)
+        ).repartition(3)
     )
     width = RANK + EXTRA
     basis = np.random.default_rng(SEED).standard_normal((DIMS, width))
     for last in (False, False, True):
-        basis = np.linalg.qr(basis)[0]
-        product = texts.mapInArrow(_sketch(shared_value(spark, basis), idf), "slot bigint, v array<double>")
+        basis = np.linalg.qr(basis)[0].astype(np.float32)
+        product = texts.mapInArrow(_sketch(shared_value(spark, basis), idf), "slot bigint, v array<float>")
         summed = product.groupBy("slot").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width))).toArrow()
         image = np.zeros((DIMS, width))
         image[summed["slot"].to_numpy()] = np.stack([summed[f"v{i}"].to_numpy() for i in range(width)], axis=1)
@@ -273,4 +273,4 @@ def with_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per leak: the document, the item, and how it was confirmed."""
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
-    return with_leaks(docs, items).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
+    return with_leaks(docs, items).select("doc_id", F.explode_outer("leaks").alias("l")).where("l is not null").select("doc_id", "l.*")
