@@ -17,8 +17,10 @@ def _rarity(lines: DataFrame) -> DataFrame:
     A token is as frequent as its counter says, or rarer. The join is right for any order
     of tokens; the order only decides how many candidates there are.
     """
-    tokens = lines.select(F.explode(words(F.col("line"))).alias("token"))
-    counted = tokens.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).alias("slot")).agg(F.count("*").alias("n"))
+    # The outer generators of this module keep Spark from adding a filter on the size of
+    # the array, which would compute the array once more.
+    tokens = lines.select(F.explode_outer(words(F.col("line"))).alias("token"))
+    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(F.lit(SKETCH - 1)).alias("slot")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(SKETCH).withColumnRenamed("id", "slot").join(counted, "slot", "left")
     listed = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n")))).alias("a"))
     return listed.select(F.transform("a", lambda x: F.least(x["n"], F.lit((1 << 23) - 1))).alias("counts"))
@@ -36,25 +38,24 @@ def _histogram(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("bigint"), add)
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: Column, b: Column) -> Column:
     """The sum of the differences of two histograms: at most the tokens that only one line has."""
-    count = lambda c, i: F.shiftrightunsigned(F.col(c), 4 * i).bitwiseAND(F.lit(15))
+    count = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
     total = F.abs(count(a, 0) - count(b, 0))
     for i in range(1, 16):
         total = total + F.abs(count(a, i) - count(b, i))
     return total
 
 
-def _possible(similar: tuple[int, int]) -> Column:
+def _possible(similar: tuple[int, int], n: Column, pos: Column, histogram: Column, m: Column, m_pos: Column, m_histogram: Column) -> Column:
     """Length, positional and histogram filters; no pair of lines that is similar fails
     them at the first token that the prefixes share."""
     p, q = similar
-    n, m = F.col("n"), F.col("m")
-    overlap = 1 + F.least(n - F.col("pos"), m - F.col("m_pos"))
+    overlap = 1 + F.least(n - pos, m - m_pos)
     return (
         (F.least(n, m) * q >= F.greatest(n, m) * p)
         & (overlap * (p + q) >= (n + m) * p)
-        & (_apart("histogram", "m_histogram") * (p + q) <= (n + m) * (q - p))
+        & (_apart(histogram, m_histogram) * (p + q) <= (n + m) * (q - p))
     )
 
 
@@ -80,42 +81,41 @@ def repeated_lines(lines: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
     are not written out, and none is left unchecked.
     """
     p, q = similar
-    counts = _rarity(lines).scalar()
     hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    # The generator keeps the hashes apart from the counts. So the counts, used once, are
+    # put in place as one value per task, and not written into each row as a column.
+    measured = lines.where("id is not null").select("id", F.explode(F.array(hashes)).alias("hashes"))
+    measured = measured.select("id", "hashes", _rarity(lines).scalar().alias("counts"))
     low = F.lit((1 << 40) - 1)
     by_rarity = F.sort_array(
         F.transform(
             "hashes",
-            lambda h: F.shiftleft(F.element_at("counts", (F.pmod(h, F.lit(SKETCH)) + 1).cast("int")).cast("bigint"), 40).bitwiseOR(h.bitwiseAND(low)),
+            lambda h: F.shiftleft(F.element_at("counts", (h.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int")).cast("bigint"), 40).bitwiseOR(h.bitwiseAND(low)),
         )
     )
-    measured = lines.select("id", "place", hashes.alias("hashes")).select(
-        "id", "place", "hashes", F.size("hashes").alias("n"), _histogram(F.col("hashes")).alias("histogram"), counts.alias("counts")
-    )
-    prefix = F.slice(by_rarity, 1, F.expr(f"n - (n * {p} + {q - 1}) div {q} + 1").cast("int"))
-    entries = measured.select("id", "place", "n", "histogram", F.posexplode(prefix).alias("pos", "token"))
-    entries = entries.withColumn("pos", F.col("pos") + 1)
-
-    def partners(df: DataFrame, *more: str) -> DataFrame:
-        return df.select(
-            "token", F.col("id").alias("y"), F.col("n").alias("m"), F.col("pos").alias("m_pos"), F.col("histogram").alias("m_histogram"),
-            *(F.col(c).alias(f"y_{c}") for c in more),
-        )
+    prefix = F.slice(by_rarity, 1, F.expr(f"size(hashes) - (size(hashes) * {p} + {q - 1}) div {q} + 1").cast("int"))
+    entries = measured.select("id", F.size("hashes").alias("n"), _histogram(F.col("hashes")).alias("histogram"), prefix.alias("prefix"))
+    entries = entries.select("id", "n", "histogram", F.posexplode_outer("prefix").alias("pos", "token"))
+    entries = entries.where("token is not null").select("token", "id", "n", (F.col("pos") + 1).alias("pos"), "histogram")
+
+    def pair(left: str, right: str) -> Column:
+        return _possible(similar, *(F.col(f"{side}.{c}") for side in (left, right) for c in ("n", "pos", "histogram")))
 
-    slim = entries.select("token", "id", "n", "pos", "histogram")
-    met = slim.join(partners(slim).withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & (F.col("id") != F.col("y")) & _possible(similar), "left_semi")
+    a, b = entries.alias("a"), entries.alias("b")  # the same rows twice, shuffled once
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & pair("a", "b"), "left_semi")
     near = stored(met.select("id", "token", "n", "pos", "histogram"))
     chosen = near.select("id").distinct()
     known = stored(lines.join(chosen, "id").select("id", "place", F.array_distinct(words(F.col("line"))).alias("tokens")))
     tokens = known.select("id", "tokens")
     near = stored(spread_join(near, known.select("id", "place"), ["id"], "inner"))
 
-    heads = near.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos", "histogram")).alias("h")).select("token", "h.*")
-    earlier = (F.col("y_place") < F.col("place")) & _possible(similar)
-    first = spread_join(near, partners(heads, "place"), ["token"], "inner").where(earlier)
-    settled = stored(_verified(first.select(F.col("id").alias("x"), "y").distinct(), tokens, similar))
-    rest = spread_join(near.withColumnRenamed("id", "x"), settled, ["x"], "left_anti")
-    others = partners(near, "place").withColumnRenamed("token", "t")
+    heads = near.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos", "histogram")).alias("h")).select("token", F.col("h.id").alias("y"), F.struct("h.*").alias("b"))
+    own = near.select("token", F.col("id").alias("x"), F.struct("place", "n", "pos", "histogram").alias("a"))
+    earlier = (F.col("b.place") < F.col("a.place")) & pair("a", "b")
+    first = spread_join(own, heads, ["token"], "inner").where(earlier)
+    settled = stored(_verified(first.select("x", "y").distinct(), tokens, similar))
+    rest = spread_join(own, settled, ["x"], "left_anti")
+    others = near.select(F.col("token").alias("t"), F.col("id").alias("y"), F.struct("place", "n", "pos", "histogram").alias("b"))
     late = rest.join(others, (F.col("token") == F.col("t")) & earlier).select("x", "y").distinct()
     return settled.union(_verified(late, tokens, similar))
 
@@ -135,7 +135,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
     own = picked(docs, doc_id=id_col, text=text_col)
-    own = own.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    own = own.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")
     own = own.where(F.col("line").rlike(WORD)).withColumn("place", place.cast("decimal(38,0)"))
     lines = own.groupBy("line").agg(F.min("place").alias("place"))
