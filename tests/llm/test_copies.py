@@ -1,0 +1,185 @@
+"""Substring, line, SimHash and embedding dedup against brute force."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from keelson.llm import embeddings, lines, simhash, substrings
+from keelson.llm.common import components
+
+
+def smallest(n, linked):
+    root = list(range(n))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, j in linked:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(v) for v in range(n)]
+
+
+def least(ids):
+    known = [i for i in ids if i is not None]
+    return min(known) if known else None
+
+
+@pytest.mark.parametrize("contexts", [2000, 1])  # with automata only, and by windows wherever possible
+def test_substrings(docs, corpus, contexts):
+    width, seen = 13, {}
+    for doc, text, *_ in corpus:
+        words = (text or "").encode().split()
+        for i in range(len(words) - width + 1):
+            if doc is not None:
+                key = tuple(words[i : i + width])
+                seen[key] = min(seen.get(key, doc), doc)
+    expected = Counter()
+    for doc, text, *_ in corpus:
+        words, gone = (text or "").encode().split(), set()
+        for i in range(len(words) - width + 1):
+            if doc is not None and seen[tuple(words[i : i + width])] < doc:
+                gone |= set(range(i, i + width))
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
+        expected[doc, len(words), len(gone), kept] += 1
+    out = substrings.remove_repeated(docs, contexts=contexts)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == expected
+    assert any(k[2] for k in expected)
+
+
+def test_automaton_statistics():
+    rng = random.Random(1)
+    texts = [[rng.choice("ab").encode() for _ in range(rng.randint(1, 12))] for _ in range(30)]
+    automaton = substrings.SuffixAutomaton()
+    for document, words in enumerate(texts):
+        automaton.add(words, document)
+    automaton.freeze()
+
+    def first(part):
+        found = [d for d, t in enumerate(texts) if any(t[i : i + len(part)] == part for i in range(len(t)))]
+        return min(found, default=math.inf)
+
+    query = [rng.choice("abc").encode() for _ in range(60)]
+    for i, (matched, document) in enumerate(automaton.statistics(query, 3)):
+        longest = max(n for n in range(i + 2) if n == 0 or first(query[i + 1 - n : i + 1]) < math.inf)
+        assert matched == longest
+        assert document == (first(query[i - 2 : i + 1]) if longest >= 3 else math.inf)
+
+
+def test_lines(docs, corpus):
+    place = []
+    for row, (doc, text, *_) in enumerate(corpus):
+        for at, line in enumerate((text or "").split("\n") if text is not None else []):
+            place.append((row, doc, at, line, frozenset(line.encode().split())))
+    gone = set()
+    for row, doc, at, _, own in place:
+        for _, other, o_at, _, theirs in place:
+            if own and theirs and doc is not None and other is not None and (other, o_at) < (doc, at):
+                if 9 * len(own & theirs) >= 4 * (len(own) + len(theirs)):
+                    gone.add((row, at))
+    expected = Counter()
+    for row, (doc, text, *_) in enumerate(corpus):
+        split = text.split("\n") if text is not None else []
+        kept = None if text is None else "\n".join(x for at, x in enumerate(split) if (row, at) not in gone)
+        expected[doc, len(split), sum((row, at) in gone for at in range(len(split))), kept] += 1
+    out = lines.drop_repeated_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in out.collect()) == expected
+    with pytest.raises(ValueError):
+        lines.drop_repeated_lines(docs.withColumnRenamed("lang", "N_lines"))
+
+
+def test_line_dedup_is_native(docs):
+    plan = lines.drop_repeated_lines(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def _print(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, corpus):
+    prints = [_print(r[1]) for r in corpus]
+    n = len(prints)
+    roots = smallest(n, [(i, j) for i in range(n) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    ids = {root: least([corpus[i][0] for i in range(n) if roots[i] == root]) for root in set(roots)}
+    expected = Counter((corpus[i][0], f"{prints[i]:016x}", ids[roots[i]]) for i in range(n))
+    out = simhash.near_duplicates(docs)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in out.collect()) == expected
+
+
+def test_near_fingerprints_connect_as_all_pairs_do(spark):
+    rng = random.Random(2)
+    prints = {0, (1 << 64) - 1}
+    for _ in range(30):
+        at = rng.getrandbits(64)
+        for _ in range(8):
+            prints.add(at)
+            for _ in range(rng.randint(1, 4)):
+                at ^= 1 << rng.randrange(64)
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2
+    roots = smallest(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if near(prints[i], prints[j])])
+    links = simhash.near_fingerprints(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()
+    assert all(near(r.a, r.b) for r in links)
+    index = {p: i for i, p in enumerate(prints)}
+    assert smallest(len(prints), [(index[r.a], index[r.b]) for r in links]) == roots
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 300: 200}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(40):
+        centre = rng.standard_normal(32)
+        for _ in range(12):
+            vectors.append((centre + rng.standard_normal(32) * rng.choice([0.02, 0.2, 0.45])).tolist())
+    vectors += [vectors[0]] * 5 + [(np.array(vectors[0]) * 3).tolist()]
+    odd = [None, [], [0.0] * 32, [float("nan")] * 32, [None] + [1.0] * 31, [float("inf")] * 32, vectors[0][:31]]
+    rows = [(i, v, 1) for i, v in enumerate(vectors + odd)] + [(None, vectors[20], 1), (21, vectors[21], 1)]
+    sound = [k for k, r in enumerate(rows) if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    x = {k: np.array(rows[k][1], dtype=np.float32).astype(float) for k in sound}
+    links = [
+        (a, b) for a in sound for b in sound
+        if a > b and len(x[a]) == len(x[b]) and x[a] @ x[b] / np.sqrt((x[a] @ x[a]) * (x[b] @ x[b])) >= 0.9
+    ]
+    degree = Counter(v for pair in links for v in pair)
+    roots = smallest(len(rows), links)
+    ids = {root: least([rows[i][0] for i in range(len(rows)) if roots[i] == root]) for root in set(roots)}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, key int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect())
+    expected = Counter((r[0], degree[k], ids[roots[k]], r[0] is not None and r[0] == ids[roots[k]]) for k, r in enumerate(rows))
+    assert sum(got.values()) == len(rows)
+    found, true = sum(k[1] * n for k, n in got.items()), 2 * len(links)
+    assert 0.9 * true <= found <= true and true > 1000
+    assert sum((got & expected).values()) >= 0.9 * len(rows)
+
+
+def test_a_block_with_an_empty_chunk_counts_no_pair_twice():
+    one = {"key": [1, 2], "copies": [1, 1], "codes": [[5] * 24, [5] * 24], "embedding": [[1.0, 0.0], [1.0, 0.0]], "side": [0, 0], "code": [5, 5]}
+    assert len(embeddings._verify(one, 0.9, across=True)[0]) == 0
+    assert len(embeddings._verify(one, 0.9, across=False)[0]) == 1
+
+
+def test_empty_tables(spark, no_docs):
+    assert substrings.remove_repeated(no_docs).count() == 0
+    assert lines.drop_repeated_lines(no_docs).count() == 0
+    assert simhash.near_duplicates(no_docs).count() == 0
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
