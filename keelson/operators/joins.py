@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _BUCKET = "__key_bucket"
@@ -52,11 +53,13 @@ def _bucket(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column |
     """A hash equal on both sides for equal keys, or None where types do not allow one."""
     parts = []
     for key in keys:
-        mine, other = left.select(quoted(key)).schema[0].dataType, right.select(quoted(key)).schema[0].dataType
-        if isinstance(mine, _INTEGRAL) and isinstance(other, _INTEGRAL):
-            parts.append(quoted(key).cast("bigint"))
-        elif mine == other and isinstance(mine, (*_EXACT, T.DecimalType)):
-            parts.append(quoted(key))
-        else:
+        # Where types differ, both sides are cast to the type that Spark compares them in.
+        one, two = left.select(quoted(key)), right.select(quoted(key))
+        try:
+            common = one.union(two).schema[0].dataType
+        except AnalysisException:
             return None
+        if not isinstance(common, (*_INTEGRAL, *_EXACT, T.DecimalType)):
+            return None
+        parts.append(quoted(key).cast(common))
     return F.xxhash64(*parts)

@@ -195,9 +195,11 @@ def change_in_key_range(
     once for its range and must not change afterwards.
     """
     ordered = (T.IntegralType, T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    if not isinstance(source.select(quoted(key)).schema[0].dataType, ordered):
+    key_type = target.select(quoted(key)).schema[0].dataType
+    if not isinstance(key_type, ordered):
         return change(target)
-    bounds = _as_literals(source, key, F.min, F.max)
+    # The range is taken in the target's type: as text, '10' comes before '9'.
+    bounds = _as_literals(source.select(quoted(key).cast(key_type).alias(key)), key, F.min, F.max)
     if bounds is None:
         return change(target)
     low, high = bounds

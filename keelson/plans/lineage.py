@@ -89,10 +89,6 @@ _RAW = """CASE WHEN event_type = 'purchase' THEN '{"body":"' || replace(payload,
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``event_id`` and ``raw``, one for each row of ``events``."""
     events = load(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() < cores:
-        # Reading an event costs far more than moving it: a small file must not be one task.
-        events = events.repartition(cores, "event_id")
     events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     texts = events.selectExpr("event_id", "event_type", "k", f"{_PAYLOAD} AS payload")
     return texts.selectExpr("event_id", f"{_RAW} AS raw")

@@ -52,13 +52,14 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("c_custkey"), "c_name", F.col("c_nationkey").cast("int"), "c_acctbal", "c_mktsegment")
 
 
-@register("scan_csv_inferred", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@register("scan_csv_inferred", "SELECT * FROM orders")
 def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark)
     load(spark, sf_dir, "orders").write.csv(folder, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
     found = read_csv_inferred(spark, folder)
     return found.select(
-        F.col("o_orderkey").cast("bigint"), "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz")
+        F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderstatus", "o_totalprice",
+        F.col("o_orderdate").cast("timestamp_ntz"), "o_orderpriority",
     )
 
 

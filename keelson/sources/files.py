@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 _CSV_TIMESTAMPS = "yyyy-MM-dd HH:mm:ss"
+# Columns go by the names in the header, and a row that does not fit is an error.
+_STRICT_CSV = {"enforceSchema": False, "mode": "FAILFAST"}
 
 # Which part of an input format's name selects which reader, in order.
 FORMATS = (("parquet", "parquet"), ("csv", "csv"), ("text", "csv"), ("json", "json"))
@@ -28,14 +30,15 @@ def read_table_files(
 
     A location ending in ``/`` is a folder and is listed in parallel. Without a
     schema CSV and JSON are read twice, once to find the types; pass one for
-    large tables.
+    large tables. A CSV header that differs from the schema is an error, and so is a row
+    with a wrong field or number of fields.
     """
     reader_format = file_format(input_format)
     reader = spark.read.format(reader_format)
     if schema is not None:
         reader = reader.schema(schema)
     if reader_format == "csv":
-        reader = reader.options(header=True, inferSchema=schema is None)
+        reader = reader.options(header=True, inferSchema=schema is None, **_STRICT_CSV)
     pattern = f"*.{reader_format}"
     if location.endswith("/"):
         return reader.option("pathGlobFilter", pattern).load(location)
@@ -44,7 +47,7 @@ def read_table_files(
 
 def read_csv_inferred(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header and inferred types; a given schema saves the pass that infers."""
-    reader = spark.read.options(header=True, timestampFormat=_CSV_TIMESTAMPS)
+    reader = spark.read.options(header=True, timestampFormat=_CSV_TIMESTAMPS, **_STRICT_CSV)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)

@@ -152,7 +152,7 @@ def load_table(
     mode = mode or ("merge" if keys else "append")
     if not create_from(source, name, location):
         if mode == "merge" and keys:
-            with _staged(source) as staged:
+            with _staged(conform(source, spark.table(name).schema)) as staged:
                 rewrite(
                     spark,
                     name,

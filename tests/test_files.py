@@ -38,3 +38,18 @@ def test_csv_inference(spark, tmp_path):
     assert df.where("at = timestamp '2023-01-15 10:11:12'").count() == 1
     declared = read_csv_inferred(spark, str(path), "customer_id bigint, big bigint, ratio double, name string, day date, at timestamp")
     assert declared.schema["customer_id"].dataType.simpleString() == "bigint" and declared.count() == 2
+
+
+def test_csv_header_must_fit_the_schema(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("b,a\n1,2\n")
+    for read in (lambda s: read_csv_inferred(spark, str(tmp_path), s), lambda s: read_table_files(spark, f"{tmp_path}/", "csv", s)):
+        with pytest.raises(Exception):
+            read("a int, b int").collect()
+        assert read("b int, a int").collect() == [(1, 2)]
+
+
+@pytest.mark.parametrize("row", ["bad,3", "4,5,6"])
+def test_csv_rows_must_fit_the_schema(spark, tmp_path, row):
+    (tmp_path / "x.csv").write_text(f"a,b\n1,2\n{row}\n")
+    with pytest.raises(Exception):
+        read_csv_inferred(spark, str(tmp_path), "a int, b int").collect()

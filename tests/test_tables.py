@@ -173,3 +173,19 @@ def test_a_staged_source_is_removed(spark, table):
         tables.load_table(frame(spark, (1, "p", 3), (1, "q", 3)), name, "id")
     assert set(os.listdir(shared)) == before
     assert spark.table(name).first()["name"] == "y"
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(12,2)", "bigint", "double"])
+def test_merge_load_matches_keys_of_another_type(spark, table, rows, kind):
+    name = table()
+    tables.load_table(spark.createDataFrame([(9, "a"), (10, "a"), (50, "a")], "k int, v string"), name)
+    new = spark.createDataFrame([(9, "b"), (10, "b"), (60, "b")], "k int, v string")
+    tables.load_table(new.select(F.col("k").cast(kind).alias("k"), "v"), name, "k")
+    assert sorted(rows(spark.table(name))) == [(9, "b"), (10, "b"), (50, "a"), (60, "b")]
+
+
+def test_merge_load_matches_dates_by_timestamp(spark, table, rows):
+    name = table()
+    tables.load_table(spark.sql("SELECT DATE '2024-01-02' AS k, 1 AS v UNION ALL SELECT DATE '2024-01-10', 1"), name)
+    tables.load_table(spark.sql("SELECT TIMESTAMP_NTZ '2024-01-10 00:00:00' AS k, 2 AS v"), name, "k")
+    assert sorted(v for _, v in rows(spark.table(name))) == [1, 2]
