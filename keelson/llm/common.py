@@ -20,7 +20,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:

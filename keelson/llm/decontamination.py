@@ -205,7 +205,7 @@ class Retriever:
                     first = int(bounds[k - 1]) if k else 0
                     if first >= high:
                         break
-                    if (k, item, low) in tried or (k, item) in best and best[k, item].common == 1.0:
+                    if bounds[k] == first or (k, item, low) in tried or (k, item) in best and best[k, item].common == 1.0:
                         continue
                     tried.add((k, item, low))
                     if words[0] != k:

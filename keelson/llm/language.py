@@ -97,7 +97,7 @@ class PartialMatching:
             counted.append(by_order)
         self.symbols: list[tuple[Table, np.ndarray]] = []
         self.escapes: list[tuple[Table, np.ndarray]] = []
-        for order in range(ORDER + 1):
+        for order in range(ORDER + 1 if n else 0):
             contexts = np.unique(np.concatenate([c[order][0] >> np.uint64(8) for c in counted]))
             escape = np.zeros((len(contexts), n))
             table = Table(contexts)

@@ -114,9 +114,13 @@ def repeated_lines(lines: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
     earlier = (F.col("b.place") < F.col("a.place")) & pair("a", "b")
     first = spread_join(own, heads, ["token"], "inner").where(earlier)
     settled = stored(_verified(first.select("x", "y").distinct(), tokens, similar))
-    rest = spread_join(own, settled, ["x"], "left_anti")
-    others = near.select(F.col("token").alias("t"), F.col("id").alias("y"), F.struct("place", "n", "pos", "histogram").alias("b"))
-    late = rest.join(others, (F.col("token") == F.col("t")) & earlier).select("x", "y").distinct()
+    # Two lines share several tokens; only the first of them makes the pair.
+    shared = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")).select("id", F.col("s.token").alias("shared"))
+    listed = spread_join(near, shared, ["id"], "inner").select("token", "id", F.struct("place", "n", "pos", "histogram", "shared").alias("a"))
+    rest = spread_join(listed.withColumnRenamed("id", "x"), settled, ["x"], "left_anti")
+    others = listed.select(F.col("token").alias("t"), F.col("id").alias("y"), F.col("a").alias("b"))
+    first = F.array_intersect("a.shared", "b.shared")[0] == F.col("token")
+    late = rest.join(others, (F.col("token") == F.col("t")) & earlier & first).select("x", "y").distinct()
     return settled.union(_verified(late, tokens, similar))
 
 
