@@ -116,6 +116,7 @@ def quality_points(
         truncated_percentage(passed, count).alias("passingPercentage"),
         count.alias("evaluationsCount"),
     )
+    # The names of a point's fields and of the members of its content.
     return evaluated.select(
         quoted(entity).alias("entityIdentifier"),
         F.lit("ASSET").alias("entityType"),

@@ -317,7 +317,11 @@ def lineage_results_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage_results(_runs(spark, sf_dir), CONFIG, "event_id")
 
 
-_FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/facets/' || """
+# The start of each kind of facet.
+_SOURCE_FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/facets/1-0-0/DataSourceDatasetFacet.json"'"""
+_TYPE_FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/facets/2-0-3/JobTypeJobFacet.json"'"""
+_SQL_FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/facets/1-0-1/SQLJobFacet.json"'"""
+_SCHEMA_FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/facets/1-1-1/SchemaDatasetFacet.json"'"""
 
 
 @register(
@@ -325,18 +329,18 @@ _FACET = """'{"_producer":"dbt-demo","_schemaURL":"https://openlineage.io/spec/f
     _RUNS_SQL
     + f""",
     inputs_json AS (SELECT event_id, min(namespace) AS namespace, string_agg('{{"namespace":"' || namespace || '","name":"' || s_name
-            || '","facets":{{"dataSource":' || {_FACET} '1-0-0/DataSourceDatasetFacet.json","name":"iceberg","uri":"'
+            || '","facets":{{"dataSource":' || {_SOURCE_FACET} || ',"name":"iceberg","uri":"'
             || uri || '"}}}}}}', ',' ORDER BY position) AS ins FROM sources GROUP BY event_id)
     SELECT event_id, t.event_type, '{{"eventType":"' || t.event_type || '","eventTime":"2024-02-01T10:20:30.000400Z",'
         || '"producer":"dbt-demo","schemaURL":"https://openlineage.io/spec/2-0-2/OpenLineage.json#/$defs/RunEvent",'
         || '"run":{{"runId":"' || final_run || '","facets":{{}}}},"job":{{"namespace":"dbt-demo","name":"' || job_name
-        || '","facets":{{"jobType":' || {_FACET} '2-0-3/JobTypeJobFacet.json","integration":"' || job_type
+        || '","facets":{{"jobType":' || {_TYPE_FACET} || ',"integration":"' || job_type
         || '","jobType":"JOB","processingType":"BATCH"}}'
-        || CASE WHEN sql_query <> '' THEN ',"sql":' || {_FACET} '1-0-1/SQLJobFacet.json","query":"' || sql_query || '"}}' ELSE '' END
+        || CASE WHEN sql_query <> '' THEN ',"sql":' || {_SQL_FACET} || ',"query":"' || sql_query || '"}}' ELSE '' END
         || '}}}},"inputs":[' || ins || '],"outputs":[{{"namespace":"' || namespace || '","name":"' || t_name
-        || '","facets":{{"dataSource":' || {_FACET} '1-0-0/DataSourceDatasetFacet.json","name":"iceberg","uri":"arn:aws:glue:region-1:'
+        || '","facets":{{"dataSource":' || {_SOURCE_FACET} || ',"name":"iceberg","uri":"arn:aws:glue:region-1:'
         || t_account || ':table/' || t_name || '"}}'
-        || CASE WHEN fields IS NOT NULL THEN ',"schema":' || {_FACET} '1-1-1/SchemaDatasetFacet.json","fields":'
+        || CASE WHEN fields IS NOT NULL THEN ',"schema":' || {_SCHEMA_FACET} || ',"fields":'
             || CAST(fields AS VARCHAR) || '}}' ELSE '' END || '}}}}]}}' AS document
     FROM runs JOIN inputs_json USING (event_id), (VALUES ('START'), ('COMPLETE')) t(event_type)
     """,

@@ -94,26 +94,26 @@ def _recent_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "update_in_list",
     """
     SELECT c_custkey, c_name, c_nationkey,
-        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 99.0 ELSE c_acctbal END AS c_acctbal,
+        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 1250.0 ELSE c_acctbal END AS c_acctbal,
         CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'HEAVY' ELSE c_mktsegment END AS c_mktsegment
     FROM customer
     """,
 )
 def update_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     heavy = F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
-    return update_where(load(spark, sf_dir, "customer"), heavy, {"c_acctbal": 99, "c_mktsegment": "HEAVY"})
+    return update_where(load(spark, sf_dir, "customer"), heavy, {"c_acctbal": 1250, "c_mktsegment": "HEAVY"})
 
 
 @register(
     "update_less_than",
     """
-    SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 'dummy' ELSE c_name END AS c_name,
+    SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE c_name END AS c_name,
         CASE WHEN c_acctbal < 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal) FROM customer
     """,
 )
 def update_less_than(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = load(spark, sf_dir, "customer")
-    return update_where(customer, F.col("c_acctbal") < 0, {"c_name": "dummy", "c_acctbal": F.col("c_acctbal") * 2})
+    return update_where(customer, F.col("c_acctbal") < 0, {"c_name": "in debt", "c_acctbal": F.col("c_acctbal") * 2})
 
 
 # --- inserts -------------------------------------------------------------------
