@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from keelson.operators.joins import spread_join
 from keelson.operators.latest import latest_per_key
 from keelson.operators.rowlevel import change_in_key_range, delete_insert, delete_matching, delete_where, incremental_extract, keep_matching, merge_upsert, upsert_metrics
 from keelson.operators.quality import resolve_assets
@@ -164,3 +165,13 @@ def test_metrics_read_only_keys(spark, tmp_path):
     t = spark.read.parquet(path)
     plan = upsert_metrics(t, t, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "pad" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("kinds", [("bigint", "decimal(20,0)"), ("string", "bigint"), ("bigint", "int")])
+def test_keys_of_differing_types_join_as_plainly(spark, kinds):
+    left = spark.range(60).select((F.col("id") % 20).cast(kinds[0]).alias("k"), "id")
+    right = spark.range(0, 40, 3).select(F.col("id").cast(kinds[1]).alias("k"))
+    for how in ("left_semi", "left_anti"):
+        spread = spread_join(left, right, ["k"], how)
+        assert sorted(r.id for r in spread.collect()) == sorted(r.id for r in left.join(right, ["k"], how).collect())
+        assert "xxhash64" in spread._jdf.queryExecution().toString()
