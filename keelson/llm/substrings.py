@@ -136,6 +136,8 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _anchors(width: int, anchor: int):
+    """The different anchors of each document; a word repeated all over gives one."""
+
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in stream:
@@ -145,7 +147,7 @@ def _anchors(width: int, anchor: int):
             for k, text in enumerate(texts_as_bytes(batch.column("text"))):
                 words = text.split()
                 if len(words) >= width:
-                    parts.append((k, *runs(words, hashes, width, anchor)))
+                    parts.append((k, np.unique(runs(words, hashes, width, anchor)[0])))
                     size += len(parts[-1][1])
                 if size > 1 << 16:
                     yield _joined(parts, ids, keys)
@@ -155,26 +157,26 @@ def _anchors(width: int, anchor: int):
 
     def _joined(parts: list[tuple], ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-        anchors, start, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        return _rows(
-            anchor=pa.array(anchors), doc_id=pa.array(ids[at]), text_key=pa.array(keys[at]), start=pa.array(start.astype(np.int32)), n=pa.array(n.astype(np.int32))
-        )
+        return _rows(anchor=pa.array(np.concatenate([p[1] for p in parts])), doc_id=pa.array(ids[at]), text_key=pa.array(keys[at]))
 
     return run
 
 
-def _cut(width: int):
-    """The texts of a document's runs."""
+def _cut(width: int, anchor: int):
+    """The texts of a document's runs at the anchors that other documents have too."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in stream:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
-            lists = batch.column("runs").to_pylist()
+            lists = batch.column("anchors")
             out: tuple[list, ...] = ([], [], [], [], [])
             for k, text in enumerate(texts_as_bytes(batch.column("text"))):
                 words = text.split()
-                for start, n, anchor in {(r["start"], r["n"], r["anchor"]) for r in lists[k]}:
-                    for column, value in zip(out, (anchor, b" ".join(words[start : start + n + width - 1]), ids[k], keys[k], start)):
+                owned, starts, counts = runs(words, hashes, width, anchor)
+                kept = np.isin(owned, lists[k].values.to_numpy())
+                for own, start, n in zip(owned[kept].tolist(), starts[kept].tolist(), counts[kept].tolist()):
+                    for column, value in zip(out, (own, b" ".join(words[start : start + n + width - 1]), ids[k], keys[k], start)):
                         column.append(value)
                 if len(out[0]) > 1 << 15:
                     yield _pieces(out)
@@ -279,12 +281,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = own.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text_key", F.xxhash64("text"))
     sources = own.where("doc_id is not null and text is not null")
 
-    owned = sources.mapInArrow(_anchors(width, anchor), "anchor bigint, doc_id bigint, text_key bigint, start int, n int")
+    owned = sources.mapInArrow(_anchors(width, anchor), "anchor bigint, doc_id bigint, text_key bigint")
     at = Window.partitionBy("anchor")
     shared = owned.withColumn("low", F.min("doc_id").over(at)).withColumn("high", F.max("doc_id").over(at)).where("low < high")
-    marked = shared.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs"))
+    marked = shared.groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
     cut = sources.join(marked, ["doc_id", "text_key"]).mapInArrow(
-        _cut(width), "anchor bigint, piece string, doc_id bigint, text_key bigint, start int"
+        _cut(width, anchor), "anchor bigint, piece string, doc_id bigint, text_key bigint, start int"
     )
     pieces = stored(cut.withColumn("piece_key", F.xxhash64("piece")))
 
