@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,6 +192,23 @@ def test_licenses(spark):
     assert rows[8][1][span.start : span.end] == t["all-rights-reserved"] and span.differences == 0
 
 
+def _licenses_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [[f.license for f in r.found] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()]
+
+
+def test_wrapped_licenses(spark):
+    """Every template over several lines, bare and in comments, with text before and behind."""
+    cases = []
+    for name, text in licenses.TEMPLATES.items():
+        for mark in ("", "# ", " * ", "// "):
+            lines = textwrap.wrap(text, 76 - len(mark))
+            lines += textwrap.wrap(text, 30)  # and again, narrower
+            cases.append((name, "\n".join(mark + x for x in ["A file of words.", "", *lines, "", "More of them here."])))
+    got = _licenses_of(spark, [text for _, text in cases])
+    assert [(name, found) for (name, _), found in zip(cases, got) if found != [name, name]] == []
+
+
 def test_common_words():
     rng = random.Random(8)
     for _ in range(50):
