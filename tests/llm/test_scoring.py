@@ -209,6 +209,22 @@ def test_wrapped_licenses(spark):
     assert [(name, found) for (name, _), found in zip(cases, got) if found != [name, name]] == []
 
 
+def test_licenses_in_running_text(spark):
+    """Short notices with prose of any length on both sides, several in a block, the same one twice."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    t = licenses.TEMPLATES
+    cases = [([name], f"{prose(n)} {t[name]} {prose(n)}") for name in t for n in (2, 10, 90)]
+    pairs = (["CC-BY-4.0", "all-rights-reserved"], ["MIT", "Apache-2.0"], ["MIT", "MIT"], ["all-rights-reserved", "GPL-2.0", "MIT-text", "ISC"])
+    cases += [(names, between.join(t[name] for name in names)) for names in pairs for between in (" ", " or ", " " + prose(12) + " ")]
+    cases += [
+        ([], "under the GNU General Public License, version 7. Chapter 3 of this work is licensed"),
+        ([], "Licensed under CC BY-NC-SA 4.0."), ([], f"All words {prose(9)} rights {prose(9)} reserved, licensed or not"),
+    ]
+    got = _licenses_of(spark, [text for _, text in cases])
+    assert [(names, found) for (names, _), found in zip(cases, got) if found != names] == []
+
+
 def test_common_words():
     rng = random.Random(8)
     for _ in range(50):
