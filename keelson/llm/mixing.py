@@ -75,7 +75,7 @@ def mix(
     slices: int = 1024,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
-    ``taken`` and ``position``, range-sorted by position.
+    ``taken``, ``position`` and ``passes``, range-sorted by position.
 
     ``size`` is the number of words. Within a source, documents are ordered by the MD5 of
     their id, then by size; the words of the source so form one line, on which a document
@@ -87,7 +87,10 @@ def mix(
 
     ``position`` is the training time, 0 to 1, of the document's first pass: the source's
     weight schedule is integrated, and the cumulative demand inverted at the document's
-    middle. A document that is not taken has none.
+    middle. A document that is not taken has none. ``passes`` is an array of at most
+    ``repeats`` structs ``pass`` (from 0), ``taken`` and ``position``: each pass goes on where
+    the one before it ended, ``source_size`` words further in the source's demand.
+    ``scheduled`` makes a row of each.
 
     Null texts have size 0; documents of size 0 take nothing. A null source is a source
     of its own. Null ids come last in their source. Rows that are equal in id and size are
@@ -133,13 +136,30 @@ def mix(
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
     placed = placed.withColumn("whole", whole.cast("bigint")).withColumn("rest", rest)
     taken = (F.col("whole") * F.col("size") + last).cast("bigint")
-    middle = (F.col("upto") - F.col("size") / 2) / F.greatest(goal, F.lit(1))
-    position = demand_position(F.least(middle, F.lit(1.0)), F.col("start"), F.col("end"))
-    out = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, position))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+
+    def one(k: Column) -> Column:
+        middle = (k * F.col("source_size") + F.col("upto") - F.col("size") / 2) / F.greatest(goal, F.lit(1))
+        position = demand_position(F.least(middle, F.lit(1.0)), F.col("start"), F.col("end"))
+        own = F.when(k < F.col("whole"), F.col("size")).otherwise(last).cast("bigint")
+        return F.struct(k.alias("pass"), own.alias("taken"), position.alias("position"))
+
+    passes = F.filter(F.transform(F.sequence(F.lit(0), F.col("whole").cast("int")), one), lambda p: p["taken"] > 0)
+    out = placed.withColumn("taken", taken).withColumn("passes", passes).withColumn("position", F.get("passes", F.lit(0))["position"])
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "passes")
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def scheduled(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` in training order: one for each pass over a document.
+
+    ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``pass``, ``taken`` (in this pass)
+    and ``position``, range-sorted by position. Documents that are not taken have no row.
+    """
+    rows = mixed.select("doc_id", "source", "size", "source_size", "target", F.explode("passes").alias("p"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "p.pass", "p.taken", "p.position")
+    return rows.repartitionByRange("position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass")
+
+
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -170,4 +190,7 @@ FROM walked
 
 @register("op7_mixing", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The passes of ``scheduled`` are summed to one row per document."""
+    mixed = mix(load(spark, sf_dir, "documents"))
+    taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda a, p: a + p["taken"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

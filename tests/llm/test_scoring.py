@@ -87,6 +87,29 @@ def test_positions_invert_the_demand(spark):
         assert (r.a * r.t + (r.b - r.a) * r.t**2 / 2) / ((r.a + r.b) / 2) == pytest.approx(r.q, abs=1e-9)
 
 
+def test_every_pass_is_scheduled(spark):
+    """Passes against a walk word by word; a source taken several times is spread over all of training."""
+    rows = [(i, "w " * (1 + i % 5), "a" if i < 300 else "bc"[i % 2]) for i in range(400)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got = mixing.scheduled(mixed).collect()
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id] += r.taken
+    assert taken == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
+    for turn, source in enumerate("abc"):
+        own = sorted((r for r in got if r.source == source), key=lambda r: (r["pass"], hashlib.md5(str(r.doc_id).encode()).hexdigest()))
+        goal, done = round(own[0].target), 0
+        a, b = mixing.SCHEDULES[turn]
+        for r in own:
+            share = min(1.0, (done + r.size / 2) / goal)
+            assert (a * r.position + (b - a) * r.position**2 / 2) / ((a + b) / 2) == pytest.approx(share, abs=1e-9)
+            done += r.taken
+        assert done == goal
+        if source == "c":
+            assert {r["pass"] for r in own} == {0, 1, 2} and max(r.position for r in own) > 0.98
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(4)
