@@ -157,19 +157,42 @@ class PartialMatching:
         return total
 
 
+def pieces(text: bytes, most: int, size: int = 2048) -> list[bytes]:
+    """A text of at most ``most`` bytes whole, else so many bytes of it in even pieces over its length.
+
+    Pieces start with a character.
+    """
+    if len(text) <= most:
+        return [text]
+    count = max(1, most // size)
+    out = []
+    for k in range(count):
+        start = k * (len(text) - size) // max(1, count - 1)
+        while start < len(text) and text[start] & 0xC0 == 0x80:
+            start += 1
+        out.append(text[start : start + size])
+    return out
+
+
 def learn(docs: DataFrame, docs_per_language: int = 400, bytes_per_doc: int = 32768) -> PartialMatching:
     """Trees from ``docs`` (text, lang), with texts and languages that are not null.
 
     Each language has at most ``docs_per_language`` documents, those with the smallest
-    hash among the ones of at most ``bytes_per_doc`` bytes. The languages are listed, one
-    row each, and their samples come to the driver.
+    hash. Of a document of more than ``bytes_per_doc`` bytes, ``pieces`` spread evenly over
+    the whole text are learned. The languages are listed, one row each, and their samples
+    come to the driver.
     """
-    known = docs.where(F.octet_length("text").between(1, bytes_per_doc) & F.col("lang").isNotNull())
+
+    @F.arrow_udf("array<binary>")
+    def learned(column: pa.Array) -> pa.Array:
+        return pa.array([pieces(t, bytes_per_doc) for t in texts_as_bytes(column)], pa.list_(pa.binary()))
+
+    known = docs.where((F.octet_length("text") > 0) & F.col("lang").isNotNull())
     languages = [r.lang for r in known.select("lang").distinct().collect()]
     texts = {}
     for language in languages:
         sample = hash_sample(known.where(F.col("lang") == language), ["doc_id", "text"], docs_per_language)
-        texts[language] = sorted(r.text.encode() for r in sample.select("text").collect())
+        texts[language] = sorted(bytes(t) for r in sample.select(learned("text").alias("t")).collect() for t in r.t)
     return PartialMatching(texts)
 
 

@@ -164,6 +164,22 @@ def test_language(labelled):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_long_documents_is_learned(spark):
+    """A language of which all labelled documents are longer than what is learned of one."""
+    rng = random.Random(13)
+    line = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, line("abcdefgh", 50), "en") for i in range(30)]
+    # Only the middle of a book is like the short texts; its head is not.
+    rows += [(i, line("0123456789", 4000) + line("ñopqrstu", 8000), "es") for i in range(30, 42)]
+    rows += [(i, line("ñopqrstu", 20), None) for i in range(42, 60)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 30 else "es") for r in got)
+    text = "ñ".encode() * 70000 + b"end"
+    own = language.pieces(text, 32768)
+    assert len(own) == 16 and all(p.decode(errors="ignore")[0] == "ñ" for p in own) and own[-1].endswith(b"end")
+    assert language.pieces(text[:32768], 32768) == [text[:32768]]
+
+
 def test_code_lengths_are_exact():
     """Against a context tree that walks byte by byte."""
     rng = random.Random(6)
