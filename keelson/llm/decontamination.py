@@ -20,7 +20,6 @@ PASSAGE = 48  # words of a passage that the space is learned from
 SAMPLE = 2000  # documents, and as many benchmark items, that the space is learned from
 BLOCK = 20000  # benchmark items that a task holds at a time
 COSINE = 0.55  # least cosine of a candidate
-SHARED = 0.5  # least share of a candidate's words that the item has too
 COMMON, LOOSE, ANSWER = 0.75, 0.5, 0.8  # shares of an item's words found in order
 SEED = 7
 
@@ -121,6 +120,11 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+def _tail(length: int) -> int:
+    """Words of an item's last third, where its answer stands."""
+    return max(4, length // 3)
+
+
 @dataclass
 class Hit:
     item: int
@@ -140,22 +144,28 @@ class Retriever:
         self.ids, self.words = [ids[k] for k in kept], [plain_words(texts[k]) for k in kept]
         vectors = np.array([space[slots[k]].sum(axis=0, dtype=np.float64) for k in kept]).reshape(len(kept), space.shape[1])
         self.unit = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        self.bags = np.zeros((len(kept), 2048), dtype=bool)
-        for row, k in enumerate(kept):
-            self.bags[row, np.array(slots[k]) % 2048] = True
+        self.slots = [np.array(slots[k], dtype=np.int64) for k in kept]
         lengths = np.array([max(1.0, len(w) / HOP) for w in self.words])
         blocks = np.array([round(1.5 ** round(math.log(n, 1.5))) for n in lengths], dtype=np.int64)
         self.classes = [(int(n), np.flatnonzero(blocks == n)) for n in np.unique(blocks)]
         self.widest = int(blocks.max()) * HOP if len(blocks) else 0
 
-    def candidates(self, slots: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """Windows near an item in the latent space: start, width, item, cosine.
+    def _possible(self, item: int, seen: np.ndarray) -> bool:
+        """Whether as many of the item's words are ``seen``, in any order, as a leak must have in order."""
+        held = seen[self.slots[item]]
+        tail = held[-_tail(len(held)) :]
+        found = int(held.sum()) / len(held)
+        return found >= COMMON or (found >= LOOSE and int(tail.sum()) / len(tail) >= ANSWER)
+
+    def candidates(self, held: np.ndarray, at: int, stop: int) -> Iterator[tuple[int, int, int, float]]:
+        """Windows of ``held[at:stop]`` near an item in the latent space: start, width, item, cosine.
 
         Windows are made of blocks of ``HOP`` words. Each item is compared with windows
-        of about its length, a quarter of it apart. Of those near enough, at least ``SHARED``
-        of the words must be words of the item, up to hash collisions; a leak has far more.
+        of about its length, a quarter of it apart. Of those near enough, the window, widened
+        as for the check, must have the words that the rule of ``search`` asks for: hash
+        collisions let more through, but no leak is dropped.
         """
-        small = (slots & 2047).astype(np.int64)
+        slots, seen = held[at:stop], np.zeros(len(self.space), dtype=bool)
         padded = np.full(-(-len(slots) // HOP) * HOP, len(self.space) - 1, dtype=np.int64)
         padded[: len(slots)] = slots
         blocks = self.space[padded].reshape(-1, HOP, self.space.shape[1]).sum(axis=1)
@@ -171,17 +181,19 @@ class Retriever:
                 own = items[block : block + 1024]
                 dots = window @ self.unit[own].T
                 i, j = np.nonzero(dots >= np.maximum(least, 1e-9)[:, None])
-                for part in range(0, len(i), 1 << 14):
-                    a, b = i[part : part + (1 << 14)], j[part : part + (1 << 14)]
-                    first = start[a] * HOP
-                    inside = small[np.minimum(first[:, None] + np.arange(width * HOP), len(small) - 1)]
-                    shared = self.bags[own[b][:, None], inside].mean(axis=1) >= SHARED
-                    a, b, first = a[shared], b[shared], first[shared]
-                    yield from zip(first.tolist(), [width * HOP] * len(a), own[b].tolist(), (dots[a, b] / least[a] * self.cosine).tolist())
+                last = -1
+                for a, b in zip(i.tolist(), j.tolist()):
+                    first, item = int(start[a]) * HOP, int(own[b])
+                    if a != last:
+                        seen[:] = False
+                        seen[held[max(0, at + first - width * HOP // 2) : at + first + width * HOP + width * HOP // 2]] = True
+                        last = a
+                    if self._possible(item, seen):
+                        yield first, width * HOP, item, float(dots[a, b] / least[a] * self.cosine)
 
     def _judged(self, item: int, region: list[bytes]) -> tuple[float, float]:
         own = self.words[item]
-        tail = own[-max(4, len(own) // 3) :]
+        tail = own[-_tail(len(own)) :]
         return common_words(own, region) / len(own), common_words(tail, region) / len(tail)
 
     def search(self, texts: pa.Array, slots: pa.Array, span: int = 1 << 15) -> list[list[Hit]]:
@@ -198,7 +210,7 @@ class Retriever:
         bounds = np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))
         words: tuple[int, list[bytes]] = (-1, [])
         for at in range(0, len(held) if self.ids else 0, span):
-            found = self.candidates(held[at : at + span + 2 * self.widest])
+            found = self.candidates(held, at, at + span + 2 * self.widest)
             for start, width, item, cosine in sorted(found):
                 low, high = at + start, at + start + width
                 for k in range(int(np.searchsorted(bounds, low, "right")), len(bounds)):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,26 @@ def test_candidates_find_what_brute_force_finds(leaked, spark):
     assert len(brute & got) >= 0.9 * len(brute) and brute
 
 
+def test_no_leak_of_the_rule_is_filtered():
+    """Short leaks with half of an item's words and all of its last third, under cosines that let all pass."""
+    rng = random.Random(14)
+    vocabulary = [f"w{k}".encode() for k in range(3000)]
+    slot = {w: k for k, w in enumerate(vocabulary)}
+    items = [rng.sample(vocabulary, n) for n in (25, 26, 30, 37, 38, 45, 55) for _ in range(4)]
+    texts = []
+    for item in items:
+        tail = len(item) // 3
+        need = -(-len(item) // 2) + 1 - tail
+        kept = sorted(rng.sample(range(len(item) - tail), need))
+        filler = lambda: rng.choices(vocabulary, k=rng.randint(0, 1))
+        words = [w for k in kept for w in [item[k], *filler()]] + item[-tail:]
+        texts.append(rng.choices(vocabulary, k=90) + words + rng.choices(vocabulary, k=70))
+    space = np.ones((decontamination.DIMS, 1), dtype=np.float32)
+    got = decontamination.Retriever(list(range(len(items))), [b" ".join(w) for w in items], [[slot[w] for w in i] for i in items], space)
+    hits = got.search(pa.array([b" ".join(t).decode() for t in texts]), pa.array([[slot[w] for w in t] for t in texts], pa.list_(pa.int32())))
+    assert [[h.item for h in own] for own in hits] == [[k] for k in range(len(items))]
+
+
 def test_empty_tables(spark, no_docs, labelled):
     assert secrets.find_secrets(no_docs).count() == 0
     assert mixing.mix(no_docs).count() == 0
