@@ -10,14 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import hash_sample, picked, quoted, shared_value, stored, texts_as_bytes
+from .common import picked, quoted, shared_value, stored, texts_as_bytes
 from .registry import load, register
 
 DIMS = 1 << 15  # counters of words; a fixed size, whatever the vocabulary
 RANK, EXTRA = 48, 8  # dimensions of the latent space, and those more that the sketch has
 HOP = 4  # words of a block; windows start and end with one
 PASSAGE = 48  # words of a passage that the space is learned from
-SAMPLE = 2000  # documents, and as many benchmark items, that the space is learned from
+TOGETHER = 32  # passages that are multiplied at a time
 BLOCK = 20000  # benchmark items that a task holds at a time
 COSINE = 0.55  # least cosine of a candidate
 COMMON, LOOSE, ANSWER = 0.75, 0.5, 0.8  # shares of an item's words found in order
@@ -55,14 +55,25 @@ def _sketch(get, idf: np.ndarray):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = get()
         total = np.zeros(basis.shape)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            at = np.repeat(np.arange(len(waiting)), [len(p) for p in waiting])
+            slot, column = np.unique(np.concatenate(waiting), return_inverse=True)
+            weight = np.bincount(at * len(slot) + column, minlength=len(waiting) * len(slot)).reshape(len(waiting), -1) * idf[slot]
+            weight = (weight / np.sqrt(np.einsum("ij,ij->i", weight, weight))[:, None]).astype(np.float32)
+            total[slot] += weight.T @ (weight @ basis[slot])
+            waiting.clear()
+
         for batch in stream:
             for ids in batch.column("slots"):
                 ids = ids.values.to_numpy()
                 for start in range(0, len(ids), PASSAGE):
-                    slot, times = np.unique(ids[start : start + PASSAGE], return_counts=True)
-                    weight = times * idf[slot]
-                    weight /= np.sqrt(weight @ weight)
-                    total[slot] += np.outer(weight, weight @ basis[slot])
+                    waiting.append(ids[start : start + PASSAGE])
+                    if len(waiting) == TOGETHER:
+                        add()
+        if waiting:
+            add()
         touched = np.flatnonzero(total.any(axis=1))
         for start in range(0, len(touched), 4096):
             own = touched[start : start + 4096]
@@ -72,22 +83,22 @@ def _sketch(get, idf: np.ndarray):
     return run
 
 
-def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
+def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarray:
     """The vector of each counter in the latent space, times its idf.
 
     A randomised SVD of the TF-IDF matrix of passages: a random block is multiplied by
     A^T A in three passes over the passages, made orthonormal in between, and the small
     remaining problem is solved on the driver. Each dimension is divided by its singular
     value: else the few that tell languages and frequent words apart would make all
-    passages of a language alike. The passages are those of at most
-    ``sample`` documents and as many items; the products are summed by Spark. What comes
-    to the driver has a fixed size. Every row is searched, whatever the sample.
+    passages of a language alike. The passages are those of all documents and all items;
+    the products are summed by Spark. What a task holds, and what comes to the driver, has
+    a fixed size.
     """
     spark = docs.sparkSession
     texts = stored(
-        hash_sample(docs.where("text is not null"), ["doc_id"], sample).select(word_slots(F.col("text")).alias("slots")).union(
-            hash_sample(items.where("text is not null"), ["item_id", "text"], sample).select(word_slots(F.col("text")))
-        ).repartition(3)
+        docs.where("text is not null").select(word_slots(F.col("text")).alias("slots")).union(
+            items.where("text is not null").select(word_slots(F.col("text")))
+        )
     )
     width = RANK + EXTRA
     basis = np.random.default_rng(SEED).standard_normal((DIMS, width))

@@ -324,6 +324,16 @@ def test_candidates_find_what_brute_force_finds(leaked, spark):
     assert len(brute & got) >= 0.9 * len(brute) and brute
 
 
+def test_space_is_learned_from_every_row(spark):
+    """Of more than 2,000 documents and items, each has words of its own, and each such word a direction."""
+    docs = spark.createDataFrame([(k, f"d{k} e{k} f{k % 40} g{k % 7}") for k in range(2300)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(f"i{k}x{j}" for j in range(12))) for k in range(2300)], "item_id bigint, text string")
+    space = decontamination.latent_space(docs, items, decontamination.rarity(docs))
+    both = docs.select("text").union(items.select("text"))
+    slots = {s for r in both.select(decontamination.word_slots(F.col("text")).alias("s")).collect() for s in r.s}
+    assert len(slots) > 15000 and np.linalg.norm(space[sorted(slots)], axis=1).min() > 1e-9
+
+
 def test_no_leak_of_the_rule_is_filtered():
     """Short leaks with half of an item's words and all of its last third, under cosines that let all pass."""
     rng = random.Random(14)
