@@ -251,7 +251,78 @@ def _slotted(dealt: DataFrame, digits: int, id: str) -> DataFrame:
     )
 
 
-@register("op11_sharding")
+_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  -- the table of CRC-32 by its rule
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), texts AS (
+  SELECT DISTINCT coalesce(text, '') AS text, sha256(coalesce(text, '')) AS key FROM documents
+), sums AS (
+  SELECT key, strlen(text) + 16 AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM texts, crc_table
+), numbered AS (
+  SELECT d.doc_id, s.key, s.size, s.text_crc32, sha256(concat(d.doc_id, ':', s.key)) AS turn
+  FROM documents d JOIN sums s ON s.key = sha256(coalesce(d.text, ''))
+), groups AS (
+  SELECT key, sum(size)::BIGINT AS size FROM numbered GROUP BY key
+), by_size AS (
+  SELECT key, size, row_number() OVER big AS r, sum(size) OVER () - sum(size) OVER big + size AS remains
+  FROM groups WINDOW big AS (ORDER BY size DESC, key)
+), own AS (
+  -- groups above an even share of what larger ones leave
+  SELECT key, (r - 1)::INT AS shard FROM by_size
+  WHERE r < (SELECT coalesce(min(r), 40) FROM by_size WHERE r >= 40 OR size * (41 - r) <= remains)
+), rest AS (
+  SELECT key, (sum(size) OVER (ORDER BY key))::BIGINT AS upto FROM groups WHERE key NOT IN (SELECT key FROM own)
+), ends AS (
+  SELECT 0::BIGINT AS e UNION ALL SELECT upto FROM rest
+), whole AS (
+  SELECT max(e) AS total, 40 - (SELECT count(*) FROM own) AS shards FROM ends
+), search(low, top, k, pos) AS (
+  SELECT ((total + shards - 1) // shards)::BIGINT, total::BIGINT, 0::BIGINT, 0::BIGINT FROM whole
+  UNION ALL
+  SELECT CASE WHEN next < total AND k + 1 >= shards THEN middle + 1 ELSE low END,
+         CASE WHEN next >= total THEN middle ELSE top END,
+         CASE WHEN next >= total OR k + 1 >= shards THEN 0 ELSE k + 1 END,
+         CASE WHEN next >= total OR k + 1 >= shards THEN 0 ELSE next END
+  FROM (
+    SELECT s.low, s.top, s.k, (s.low + s.top) // 2 AS middle, max(e.e) AS next
+    FROM search s JOIN ends e ON e.e <= s.pos + (s.low + s.top) // 2
+    WHERE s.low < s.top GROUP BY ALL
+  ), whole
+), best AS (
+  SELECT min(low) AS capacity FROM search WHERE low >= top
+), needed(k, pos) AS (
+  SELECT shards, total::BIGINT FROM whole
+  UNION ALL
+  SELECT l.k - 1, min(e.e) FROM needed l, best b JOIN ends e ON e.e >= l.pos - b.capacity WHERE l.k > 1 GROUP BY l.k
+), even AS (
+  SELECT l.k, l.pos AS least, max(e.e) AS even
+  FROM needed l, whole w JOIN ends e ON e.e <= w.total * l.k // w.shards GROUP BY ALL
+), cuts(k, pos) AS (
+  SELECT 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT k, greatest(pos, least(reach, greatest(least, even)))
+  FROM (
+    SELECT v.k, c.pos, v.least, v.even, max(e.e) AS reach
+    FROM cuts c JOIN even v ON v.k = c.k + 1, best b, ends e
+    WHERE e.e <= c.pos + b.capacity GROUP BY ALL
+  ), whole WHERE k < shards
+), placed AS (
+  SELECT key, shard FROM own
+  UNION ALL
+  SELECT r.key, ((SELECT count(*) FROM own) + (SELECT count(*) FROM cuts c WHERE c.k > 0 AND c.pos < r.upto))::INT FROM rest r
+)
+SELECT n.doc_id, n.size::BIGINT AS size, n.text_crc32::BIGINT AS text_crc32, 'bytes' AS law, p.shard,
+       row_number() OVER (PARTITION BY p.shard ORDER BY n.turn, n.doc_id) - 1 AS slot, NULL::INT AS grown_shard
+FROM numbered n JOIN placed p ON p.key = n.key
+"""
+
+
+@register("op11_sharding", _SQL)
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in forty shards of nearly equal sizes."""
     return text_shards(load(spark, sf_dir, "documents")).select(
