@@ -1,6 +1,7 @@
 """Upserts, quality scores and lineage events as PySpark DataFrame operators."""
 
 from .operators.columns import add_audit_columns, add_column, conform, normalize_timestamps
+from .operators.keyfilter import change_touched_rows
 from .operators.latest import latest_per_key
 from .operators.lineage import (
     LineageConfig,
@@ -45,6 +46,7 @@ from .operators.validation import compare_counts, sample_rows, schema_rows
 from .session import build_session
 from .sources.files import read_csv_inferred, read_table_files
 from .sources.tables import (
+    Layout,
     add_table_column,
     append,
     copy_table,
@@ -62,6 +64,7 @@ from .sources.tables import (
 )
 
 __all__ = [
+    "Layout",
     "LineageConfig",
     "accepted_runs",
     "add_audit_columns",
@@ -71,6 +74,7 @@ __all__ = [
     "append",
     "build_session",
     "change_in_key_range",
+    "change_touched_rows",
     "classify_events",
     "column_exists",
     "compare_counts",

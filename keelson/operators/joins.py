@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _BUCKET = "__key_bucket"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_EXACT = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
+_EXACT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
+_FLOATING = (T.FloatType, T.DoubleType)  # XXH64 gives 0.0 and -0.0 one hash, and all NaN one
 
 
 def quoted(name: str) -> Column:
@@ -40,7 +41,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     for another shuffle of that one-row-per-key side and makes the split possible.
     A right side that turns out small is still broadcast by Spark's own size check.
     """
-    bucket = _bucket(left, right, keys)
+    bucket = key_hash(left, right, keys)
     if bucket is None:
         return left.join(right, list(keys), how)
     joined = left.withColumn(_BUCKET, bucket).join(
@@ -49,8 +50,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return joined.drop(_BUCKET)
 
 
-def _bucket(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
-    """A hash equal on both sides for equal keys, or None where types do not allow one."""
+def key_hash(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column | None:
+    """A hash of the keys that is equal on both sides for equal keys.
+
+    None where types do not allow one: text under a collation has equal values of
+    different bytes.
+    """
     parts = []
     for key in keys:
         # Where types differ, both sides are cast to the type that Spark compares them in.
@@ -59,7 +64,8 @@ def _bucket(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column |
             common = one.union(two).schema[0].dataType
         except AnalysisException:
             return None
-        if not isinstance(common, (*_INTEGRAL, *_EXACT, T.DecimalType)):
+        by_bytes = isinstance(common, T.StringType) and common.collation == "UTF8_BINARY"
+        if not by_bytes and not isinstance(common, (*_INTEGRAL, *_EXACT, *_FLOATING, T.DecimalType)):
             return None
         parts.append(quoted(key).cast(common))
     return F.xxhash64(*parts)

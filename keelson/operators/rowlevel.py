@@ -48,9 +48,17 @@ def update_where(df: DataFrame, predicate: Column, sets: Mapping[str, Any]) -> D
     return df.withColumns(changed)
 
 
-def delete_matching(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop the target rows whose key occurs in the source."""
-    return spread_join(target, distinct_keys(source, keys), keys, "left_anti")
+def delete_matching(target: DataFrame, source: DataFrame, keys: Sequence[str], *, aligned: bool = False) -> DataFrame:
+    """Drop the target rows whose key occurs in the source.
+
+    ``aligned`` says that the target lies bucketed by the keys. It is then joined in its
+    place, and a hot key stays in its bucket.
+    """
+    return _joined(target, distinct_keys(source, keys), keys, "left_anti", aligned)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, aligned: bool) -> DataFrame:
+    return left.join(right, list(keys), how) if aligned else spread_join(left, right, keys, how)
 
 
 def keep_matching(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,13 +76,15 @@ def delete_insert(
     source: DataFrame,
     keys: Sequence[str],
     insert_columns: Sequence[str] | None = None,
+    *,
+    aligned: bool = False,
 ) -> DataFrame:
     """Drop target rows whose key is in the source, then add every source row.
 
     Source rows that share a key are all kept. With ``insert_columns`` only those
-    columns are filled and the others are null.
+    columns are filled and the others are null. ``aligned`` as in ``delete_matching``.
     """
-    survivors = delete_matching(target, source, keys)
+    survivors = delete_matching(target, source, keys, aligned=aligned)
     if insert_columns is None:
         return survivors.unionByName(conform(source, target.schema))
     return insert_partial(survivors, source.select(*map(quoted, insert_columns)))
@@ -98,6 +108,8 @@ def merge_upsert(
     source: DataFrame,
     keys: Sequence[str],
     update_columns: Sequence[str] | None = None,
+    *,
+    aligned: bool = False,
 ) -> DataFrame:
     """Standard MERGE: update matched target rows, insert unmatched source rows.
 
@@ -105,7 +117,7 @@ def merge_upsert(
     ``update_columns``, by default all columns the source has; its other columns
     keep their values. An inserted row is null where the source lacks a column.
     If two source rows match one target row the query fails when it runs, in the
-    same job, without a pass of its own.
+    same job, without a pass of its own. ``aligned`` as in ``delete_matching``.
     """
     names = {c.lower() for c in source.columns}
     schema = T.StructType([f for f in target.schema.fields if f.name.lower() in names])
@@ -126,7 +138,7 @@ def merge_upsert(
         .agg(F.count(F.lit(1)).alias(_COUNT), F.first(row).alias(_ROW))
     )
     ambiguous = F.raise_error(F.lit("several source rows match one target row")).cast("boolean")
-    joined = spread_join(target, per_key, keys, "left").where(
+    joined = _joined(target, per_key, keys, "left", aligned).where(
         F.when(F.col(_COUNT) > 1, ambiguous).otherwise(F.lit(True))
     )
     matched = F.col(_COUNT).isNotNull()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.columns import conform
+from ..operators.keyfilter import change_touched_rows
 from ..operators.latest import latest_per_key
 from ..operators.rowlevel import (
     change_in_key_range,
@@ -184,6 +185,44 @@ def merge_in_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_in_key_range(target, source, "o_orderkey", lambda t: merge_upsert(t, source, ["o_orderkey"]))
 
 
+# One key in a hundred, over the whole range, and some that are new.
+SCATTERED = f"""
+    WITH s AS (
+        SELECT * REPLACE ('F' AS o_orderstatus, o_totalprice + 1 AS o_totalprice) FROM orders WHERE o_orderkey % 100 = 7
+        UNION ALL
+        SELECT * REPLACE (o_orderkey + 10000000000 AS o_orderkey) FROM orders WHERE o_orderkey % 500 = 3)
+    SELECT {ORDER_COLUMNS} FROM orders o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = o.o_orderkey)
+    UNION ALL SELECT {ORDER_COLUMNS} FROM s
+"""
+
+
+def scattered_changes(orders: DataFrame) -> DataFrame:
+    changed = orders.where("o_orderkey % 100 = 7").withColumns(
+        {"o_orderstatus": F.lit("F"), "o_totalprice": F.col("o_totalprice") + 1}
+    )
+    new = orders.where("o_orderkey % 500 = 3").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000_000)
+    return changed.unionByName(new)
+
+
+@register("merge_random_keys", SCATTERED)
+def merge_random_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    source, keys = scattered_changes(orders), ["o_orderkey"]
+    return change_touched_rows(orders, source, keys, lambda t: merge_upsert(t, source, keys), least_rows=0)
+
+
+@register("upsert_random_composite_keys", """
+    WITH s AS (SELECT * REPLACE (l_quantity * 2 AS l_quantity) FROM lineitem WHERE l_orderkey % 50 = 11 AND l_linenumber < 3)
+    SELECT * FROM lineitem l WHERE NOT EXISTS (
+        SELECT 1 FROM s WHERE s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber)
+    UNION ALL SELECT * FROM s
+    """)
+def upsert_random_composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, keys = load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    source = lines.where("l_orderkey % 50 = 11 AND l_linenumber < 3").withColumn("l_quantity", F.col("l_quantity") * 2)
+    return change_touched_rows(lines, source, keys, lambda t: delete_insert(t, source, keys), least_rows=0)
+
+
 @register(
     "merge_null_keys",
     _MERGE_ORDERS.format(

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.columns import add_audit_columns, add_column, normalize_timestamps
 from ..operators.latest import latest_per_key
-from ..operators.rowlevel import delete_where
+from ..operators.rowlevel import delete_where, update_where
 from ..operators.validation import compare_counts, sample_rows
 from ..session import scratch_path
 from ..sources import tables
 from ..sources.files import read_csv_inferred, read_table_files
+from ..sources.tables import Layout
 from .registry import load, register
-from .rowlevel import ORDER_COLUMNS, user_state
+from .rowlevel import ORDER_COLUMNS, SCATTERED, scattered_changes, user_state
 
 PARQUET_INPUT = "org.apache.hadoop.hive.ql.io.parquet.MapredParquetInputFormat"
 
@@ -121,10 +122,10 @@ def sample_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- catalog tables ------------------------------------------------------------
 
 
-def _made(df: DataFrame, prefix: str) -> str:
+def _made(df: DataFrame, prefix: str, layout: Layout = Layout()) -> str:
     """A table of these rows under a new name."""
     name = _fresh(prefix)
-    tables.create_from(df, name, scratch_path(df.sparkSession))
+    tables.create_from(df, name, scratch_path(df.sparkSession), layout)
     return name
 
 
@@ -245,3 +246,78 @@ def table_incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = latest_per_key(events, ["user_id"], "ts", ["event_id"])
     tables.incremental_upsert_table(source, name, ["user_id"], "ts")
     return spark.table(name)
+
+
+# --- partitioned and bucketed tables ---------------------------------------------
+
+_BY_STATUS = Layout(partition_by=("o_orderstatus", "o_orderpriority"), properties={"purpose": "test"})
+
+
+@register("merge_partitioned", SCATTERED)
+def merge_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows change their partition here: the merge sets the status that the folders are named by."""
+    orders = load(spark, sf_dir, "orders")
+    name = _made(orders, "partitioned", _BY_STATUS)
+    tables.load_table(scattered_changes(orders), name, "o_orderkey")
+    return spark.table(name)
+
+
+@register("append_partitioned", "SELECT * FROM orders")
+def append_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    name = _made(orders.where("o_orderstatus = 'O'"), "partitioned", _BY_STATUS)
+    tables.load_table(orders.where("o_orderstatus <> 'O'"), name)
+    return spark.table(name)
+
+
+@register(
+    "update_partitioned",
+    "SELECT * REPLACE (CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS o_orderstatus) FROM orders",
+)
+def update_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on the partition columns: two folders of all are read and written."""
+    name = _made(load(spark, sf_dir, "orders"), "partitioned", _BY_STATUS)
+    low = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
+    tables.rewrite(spark, name, lambda t: update_where(t, low, {"o_orderstatus": "F"}), touching=low)
+    return spark.table(name)
+
+
+@register("delete_partitioned", "SELECT * FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice >= 50000")
+def delete_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All folders of one status become empty and are dropped."""
+    name = _made(load(spark, sf_dir, "orders"), "partitioned", _BY_STATUS)
+    for which in (F.col("o_orderstatus") == "P", F.col("o_totalprice") < 50000):
+        tables.rewrite(spark, name, lambda t, which=which: delete_where(t, which), touching=which)
+    return spark.table(name)
+
+
+@register("overwrite_partitioned", "SELECT * FROM orders WHERE o_orderpriority < '3'")
+def overwrite_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _made(load(spark, sf_dir, "orders"), "partitioned", _BY_STATUS)
+    tables.overwrite(spark.table(name).where("o_orderpriority < '3'"), name)
+    return spark.table(name)
+
+
+@register("merge_bucketed", SCATTERED)
+def merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table is joined bucket by bucket; only the source is shuffled."""
+    orders = load(spark, sf_dir, "orders")
+    name = _made(orders, "bucketed", Layout(bucket_by=("o_orderkey",), buckets=16, codec="zstd"))
+    tables.load_table(scattered_changes(orders), name, "o_orderkey")
+    return spark.table(name)
+
+
+@register(
+    "upsert_bucketed_composite",
+    """
+    WITH s AS (SELECT * REPLACE (l_quantity * 2 AS l_quantity) FROM lineitem WHERE l_returnflag = 'R')
+    SELECT * FROM lineitem l WHERE NOT EXISTS (
+        SELECT 1 FROM s WHERE s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber)
+    UNION ALL SELECT * FROM s
+    """,
+)
+def upsert_bucketed_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, keys = load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    name = _made(lines, "bucketed", Layout(bucket_by=keys, buckets=8))
+    tables.upsert_table(lines.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") * 2), name, keys)
+    return spark.table(name)

@@ -5,24 +5,72 @@ query that reads them. So new contents go to a new folder next to the old one,
 and become current when they are complete: ``publish``. A failure before that
 leaves the table as it was. One writer at a time; old folders stay, for readers
 that still use them, until ``remove_previous``.
+
+A partitioned table is changed by partitions: only those that hold rows which the
+change touches are read, changed and written, by Spark's dynamic overwrite. It moves
+the new files into place when all tasks are done, so a failure of a task leaves the
+table as it was; partitions that end up empty are dropped after that. A table that is
+bucketed by the keys of a change is joined where it lies, without a shuffle of its rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession, functions as F, types as T
 
 from ..operators.columns import conform
-from ..operators.rowlevel import change_in_key_range, delete_insert, incremental_extract, merge_upsert
+from ..operators.joins import quoted
+from ..operators.keyfilter import change_touched_rows
+from ..operators.rowlevel import change_in_key_range, delete_insert, incremental_extract, keep_matching, merge_upsert
 from ..operators.validation import compare_counts
 from ..session import scratch_path
 
 _FORMAT = "parquet"
 _CODEC = "snappy"
+_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+_MOST_LISTED = 1000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a new table is stored.
+
+    ``partition_by`` names the columns that become folders, ``bucket_by`` those by whose
+    hash rows go to one of ``buckets`` files; changes by just these keys then need no
+    shuffle of the table. ``codec`` compresses the files, ``properties`` go to the catalog.
+    """
+
+    partition_by: Sequence[str] = ()
+    bucket_by: Sequence[str] = ()
+    buckets: int = 0
+    codec: str = _CODEC
+    properties: Mapping[str, str] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if bool(self.bucket_by) != (self.buckets > 0):
+            raise ValueError("bucket_by and buckets go together")
+
+    @property
+    def is_plain(self) -> bool:
+        return not self.partition_by and not self.bucket_by
+
+
+def table_layout(spark: SparkSession, name: str) -> Layout:
+    """How a table is stored."""
+    of = _describe(spark, name)
+    return Layout(
+        tuple(of.get("partition_columns") or ()),
+        tuple(of.get("bucket_columns") or ()),
+        int(of.get("num_buckets") or 0),
+        (of.get("storage_properties") or {}).get("compression", _CODEC),
+        dict(of.get("table_properties") or {}),
+    )
 
 
 def table_name(name: str) -> str:
@@ -44,23 +92,25 @@ def table_location(spark: SparkSession, name: str) -> str:
     return _describe(spark, name)["location"]
 
 
-def create_table(spark: SparkSession, name: str, schema: T.StructType | str, location: str | None = None) -> None:
+def create_table(
+    spark: SparkSession, name: str, schema: T.StructType | str, location: str | None = None, layout: Layout = Layout()
+) -> None:
     """Create an empty table with the given columns if it is absent."""
-    create_like(spark.createDataFrame([], schema), name, location)
+    create_like(spark.createDataFrame([], schema), name, location, layout)
 
 
-def create_like(df: DataFrame, name: str, location: str | None = None) -> None:
+def create_like(df: DataFrame, name: str, location: str | None = None, layout: Layout = Layout()) -> None:
     """Create an empty table with the columns of ``df`` if it is absent."""
     if df.sparkSession.catalog.tableExists(name):
         return
-    _create(df.limit(0), name, location or _new_location(df.sparkSession, name))
+    _create(df.limit(0), name, location or _new_location(df.sparkSession, name), layout)
 
 
-def create_from(df: DataFrame, name: str, location: str | None = None) -> bool:
+def create_from(df: DataFrame, name: str, location: str | None = None, layout: Layout = Layout()) -> bool:
     """Create a table from a query if it is absent; whether it was created."""
     if df.sparkSession.catalog.tableExists(name):
         return False
-    _create(df, name, location or _new_location(df.sparkSession, name))
+    _create(df, name, location or _new_location(df.sparkSession, name), layout)
     return True
 
 
@@ -78,34 +128,98 @@ def replace(df: DataFrame, name: str) -> None:
     """Create the table from a query, or give it that query's columns and rows.
 
     The rows are complete before the catalog entry changes. If the columns differ the
-    entry is dropped and made anew, and for that moment the name is absent.
+    entry is dropped and made anew with the old layout and properties, and for that
+    moment the name is absent.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):
-        _create(df, name, _new_location(spark, name))
+        _create(df, name, _new_location(spark, name), Layout())
         return
+    layout = table_layout(spark, name)
     if _same_columns(spark.table(name).schema, df.schema):
         publish(df, name)
         return
-    _require_unpartitioned(spark, name)
-    location = _sibling(spark, name)
-    _write(df, location)
+    lacking = {*layout.partition_by, *layout.bucket_by} - set(df.columns)
+    if lacking:
+        raise ValueError(f"{name} is laid out by columns that the new rows lack: {sorted(lacking)}")
+    made = _beside(name)
+    _create(df, made, _sibling(spark, name), layout)
     spark.sql(f"DROP TABLE {table_name(name)}")
-    _register(spark, name, location, df.schema)
+    spark.sql(f"ALTER TABLE {table_name(made)} RENAME TO {table_name(name)}")
 
 
 def publish(df: DataFrame, name: str) -> str:
-    """Make ``df``, which may read the table, the table's contents; the folder it had before."""
+    """Make ``df``, which may read the table, the table's contents; the folder it had before.
+
+    A partitioned table keeps its folder.
+    """
     spark = df.sparkSession
-    _require_unpartitioned(spark, name)
-    previous = table_location(spark, name)
+    layout, previous = table_layout(spark, name), table_location(spark, name)
+    if layout.partition_by:
+        _overwrite_partitions(df, name, layout, None)
+        return previous
     location = _sibling(spark, name)
-    _write(df, location)
+    if layout.bucket_by:
+        # Only a table takes bucketed files; it lends its writer and leaves them behind.
+        made = _beside(name)
+        _laid_out(df, layout).option("path", location).saveAsTable(made)
+        spark.sql(f"DROP TABLE {table_name(made)}")
+    else:
+        _write(df, location, layout.codec)
     spark.sql(f"ALTER TABLE {table_name(name)} SET LOCATION {_literal(location)}")
     spark.catalog.refreshTable(name)
     return previous
 
 
+def _overwrite_partitions(df: DataFrame, name: str, layout: Layout, touched: list[T.Row] | None) -> None:
+    """Make ``df`` the contents of the touched partitions, or of all; others stay untouched.
+
+    ``df`` must have no rows of other partitions that exist.
+    """
+    spark, parts = df.sparkSession, layout.partition_by
+    there = {tuple(r) for r in _partitions(spark.table(name), parts)}
+    if touched is not None:
+        there &= {tuple(r) for r in touched}
+    filled = Observation()
+    # Rebalancing gathers the rows of a small partition and splits a large one.
+    rows = df.hint("rebalance", *parts).observe(filled, F.collect_set(F.struct(*map(quoted, parts))).alias("parts"))
+    with _setting(spark, _OVERWRITE_MODE, "dynamic"):
+        rows.write.mode("overwrite").insertInto(name)
+    for values in there - {tuple(r) for r in filled.get["parts"]}:
+        _drop_partition(spark, name, dict(zip(parts, values)))
+    spark.catalog.refreshTable(name)
+
+
+def _drop_partition(spark: SparkSession, name: str, values: Mapping[str, object]) -> None:
+    """Delete a partition's files, then its entry: without files it is empty already."""
+    spec = ", ".join(
+        f"`{p}` = " + ("null" if v is None else _literal(str(v))) for p, v in values.items()
+    )
+    entry = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)} PARTITION ({spec}) AS JSON").first()[0]
+    _delete(spark, json.loads(entry)["location"])
+    spark.sql(f"ALTER TABLE {table_name(name)} DROP IF EXISTS PARTITION ({spec})")
+
+
+def _partitions(df: DataFrame, parts: Sequence[str]) -> list[T.Row]:
+    """The different values of the partition columns; as many as the table has folders."""
+    return df.select(*map(quoted, parts)).distinct().collect()
+
+
+def _within(parts: Sequence[str], touched: list[T.Row]) -> Column:
+    """Whether a row lies in one of the partitions; folders are pruned by it."""
+    if not touched:
+        return F.lit(False)
+    if len(touched) > _MOST_LISTED:  # a long list goes by the first column alone, then exactly
+        first = quoted(parts[0])
+        values = {r[0] for r in touched}
+        coarse = first.isin([v for v in values if v is not None])
+        return (coarse | first.isNull()) if None in values else coarse
+    cases = [
+        reduce(lambda a, b: a & b, (quoted(p).eqNullSafe(F.lit(v)) for p, v in zip(parts, row))) for row in touched
+    ]
+    return reduce(lambda a, b: a | b, cases)
+
+
 def remove_previous(spark: SparkSession, name: str, previous: str) -> None:
     """Delete the folder that a change of the table replaced, once no reader needs it.
 
@@ -118,13 +232,61 @@ def remove_previous(spark: SparkSession, name: str, previous: str) -> None:
     _delete(spark, previous)
 
 
-def rewrite(spark: SparkSession, name: str, change: Callable[[DataFrame], DataFrame]) -> str:
+def rewrite(
+    spark: SparkSession, name: str, change: Callable[[DataFrame], DataFrame], touching: Column | None = None
+) -> str:
     """Apply a row-level operator to a table, all or nothing.
 
     For example ``rewrite(spark, "db.t", lambda t: delete_where(t, F.col("id") == 2))``.
+    ``touching`` says which rows the change may alter. Of a partitioned table only the
+    partitions that hold such rows, and those they move to, are then rewritten.
     """
     table = spark.table(name)
-    return publish(conform(change(table), table.schema), name)
+    parts = table_layout(spark, name).partition_by
+    if not parts or touching is None:
+        return publish(conform(change(table), table.schema), name)
+    touched = _partitions(table.where(touching), parts)
+    moved_to = _partitions(change(table.where(touching)), parts)
+    _change_partitions(spark, name, touched + moved_to, change)
+    return table_location(spark, name)
+
+
+def _change_partitions(
+    spark: SparkSession, name: str, touched: list[T.Row], change: Callable[[DataFrame], DataFrame]
+) -> None:
+    layout, table = table_layout(spark, name), spark.table(name)
+    if len(set(touched)) > _MOST_LISTED:  # what the pruning condition lets through is rewritten too
+        near = table.where(_within(layout.partition_by, touched))
+        touched = touched + _partitions(near, layout.partition_by)
+    near = table.where(_within(layout.partition_by, touched))
+    _overwrite_partitions(conform(change(near), table.schema), name, layout, touched)
+
+
+def _upsert(name: str, staged: DataFrame, keys: Sequence[str], operator: Callable[..., DataFrame]) -> None:
+    """Change a table by the staged rows, reading and moving as little of it as its layout allows."""
+    spark = staged.sparkSession
+    layout, target = table_layout(spark, name), spark.table(name)
+    aligned = bool(layout.bucket_by) and {k.lower() for k in layout.bucket_by} == {k.lower() for k in keys}
+
+    def change(rows: DataFrame) -> DataFrame:
+        if aligned:
+            return operator(rows, staged, keys, aligned=True)
+        return change_in_key_range(
+            rows,
+            staged,
+            keys[0],
+            lambda near: change_touched_rows(near, staged, keys, lambda t: operator(t, staged, keys)),
+        )
+
+    if not layout.partition_by:
+        publish(conform(change(target), target.schema), name)
+        return
+    parts = layout.partition_by
+    touched = _partitions(staged, parts)
+    if not {p.lower() for p in parts} <= {k.lower() for k in keys}:  # a row may change its partition
+        found = keep_matching(target.select(*map(quoted, dict.fromkeys([*keys, *parts]))), staged, keys)
+        touched += _partitions(found, parts)
+    _change_partitions(spark, name, touched, change)
 
 
 def add_table_column(spark: SparkSession, name: str, column: str, data_type: str, comment: str | None = None) -> None:
@@ -140,26 +302,21 @@ def load_table(
     keys: str | Sequence[str] | None = None,
     mode: str | None = None,
     location: str | None = None,
+    layout: Layout = Layout(),
 ) -> int:
     """Load a frame into a table and return the table's row count.
 
-    An absent table is created with the source's columns and filled. Else mode
-    ``merge`` with keys merges and everything else appends. The default mode is
-    ``merge`` with keys and ``append`` without.
+    An absent table is created with the source's columns and the given layout, and
+    filled. Else mode ``merge`` with keys merges and everything else appends. The default
+    mode is ``merge`` with keys and ``append`` without.
     """
     spark = source.sparkSession
     keys = parse_keys(keys)
     mode = mode or ("merge" if keys else "append")
-    if not create_from(source, name, location):
+    if not create_from(source, name, location, layout):
         if mode == "merge" and keys:
-            with _staged(conform(source, spark.table(name).schema)) as staged:
-                rewrite(
-                    spark,
-                    name,
-                    lambda target: change_in_key_range(
-                        target, staged, keys[0], lambda t: merge_upsert(t, staged, keys)
-                    ),
-                )
+            with _staged(_as_stored(source, name)) as staged:
+                _upsert(name, staged, keys, merge_upsert)
         else:
             append(source, name)
     return spark.table(name).count()
@@ -174,12 +331,10 @@ def copy_table(spark: SparkSession, source: str, target: str) -> DataFrame:
 def upsert_table(source: DataFrame, name: str, keys: Sequence[str]) -> dict[str, int]:
     """``delete_insert`` into a table, all or nothing; counts of rows deleted, inserted and held."""
     spark = source.sparkSession
-    target = spark.table(name)
-    with _staged(conform(source, target.schema)) as staged:
-        before, inserted = target.count(), staged.count()
+    with _staged(_as_stored(source, name)) as staged:
+        before, inserted = spark.table(name).count(), staged.count()
         if inserted:
-            changed = change_in_key_range(target, staged, keys[0], lambda t: delete_insert(t, staged, keys))
-            publish(conform(changed, target.schema), name)
+            _upsert(name, staged, keys, delete_insert)
     total = spark.table(name).count()
     return {"deleted": before + inserted - total, "inserted": inserted, "total_in_target": total}
 
@@ -220,9 +375,29 @@ def _describe(spark: SparkSession, name: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)} AS JSON").first()[0])
 
 
-def _require_unpartitioned(spark: SparkSession, name: str) -> None:
-    if _describe(spark, name).get("partition_columns"):
-        raise ValueError(f"{name} is partitioned: each partition keeps its own location")
+def _as_stored(source: DataFrame, name: str) -> DataFrame:
+    """The source with the table's columns; an empty text that names a partition reads back as null."""
+    spark = source.sparkSession
+    schema = spark.table(name).schema
+    rows = conform(source, schema)
+    texts = [p for p in table_layout(spark, name).partition_by if isinstance(schema[p].dataType, T.StringType)]
+    return rows.withColumns({p: F.nullif(quoted(p), F.lit("")) for p in texts}) if texts else rows
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _beside(name: str) -> str:
+    """A new name in the same database."""
+    *database, last = name.split(".")
+    return ".".join([*database, f"{last.strip('`')}_{uuid.uuid4().hex}"])
 
 
 def _sibling(spark: SparkSession, name: str) -> str:
@@ -240,13 +415,30 @@ def _folder(name: str) -> str:
     return f"{name.split('.')[-1].strip('`')}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, location: str) -> None:
-    df.write.format(_FORMAT).option("compression", _CODEC).mode("errorifexists").save(location)
+def _write(df: DataFrame, location: str, codec: str = _CODEC) -> None:
+    df.write.format(_FORMAT).option("compression", codec).mode("errorifexists").save(location)
+
 
+def _laid_out(df: DataFrame, layout: Layout) -> DataFrameWriter:
+    writer = df.write.format(_FORMAT).option("compression", layout.codec)
+    if layout.partition_by:
+        writer = writer.partitionBy(*layout.partition_by)
+    if layout.bucket_by:
+        writer = writer.bucketBy(layout.buckets, *layout.bucket_by)
+    return writer
 
-def _create(df: DataFrame, name: str, location: str) -> None:
-    _write(df, location)
-    _register(df.sparkSession, name, location, df.schema)
+
+def _create(df: DataFrame, name: str, location: str, layout: Layout) -> None:
+    spark = df.sparkSession
+    if layout.is_plain and layout.codec == _CODEC:
+        _write(df, location)
+        _register(spark, name, location, df.schema)
+    else:
+        rows = df.hint("rebalance", *layout.partition_by) if layout.partition_by else df
+        _laid_out(rows, layout).option("path", location).saveAsTable(name)
+    if layout.properties:
+        pairs = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in layout.properties.items())
+        spark.sql(f"ALTER TABLE {table_name(name)} SET TBLPROPERTIES ({pairs})")
 
 
 def _register(spark: SparkSession, name: str, location: str, schema: T.StructType) -> None:

@@ -140,13 +140,6 @@ def test_incremental_upsert_table(spark, table, rows):
     assert rows(spark.table(name)) == [(1, "a2", 2), (2, "b", None), (3, "c", 3)]
 
 
-def test_partitioned_tables_are_refused(spark, table):
-    name = table()
-    frame(spark, (1, "a", 1)).write.partitionBy("stamp").saveAsTable(name)
-    with pytest.raises(ValueError, match="partitioned"):
-        tables.rewrite(spark, name, lambda t: t)
-
-
 def test_old_folders_can_be_removed(spark, table, rows):
     name, other = table(), table()
     tables.create_from(frame(spark, (1, "a", 1), (2, "b", 2)), name)
