@@ -16,6 +16,7 @@ from ..operators.rowlevel import delete_where, update_where
 from ..operators.validation import compare_counts, sample_rows
 from ..session import scratch_path
 from ..sources import tables
+from ..sources.detect import read_csv_detected, read_json_detected, read_parquet_union
 from ..sources.files import read_csv_inferred, read_table_files
 from ..sources.tables import Layout
 from .registry import load, register
@@ -64,6 +65,84 @@ def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Parts of a table by key, and how each is written.
+_PART_DIALECTS = (
+    {"sep": ","}, {"sep": ";"}, {"sep": "\t", "quoteAll": True}, {"sep": "|", "quote": "'", "escape": "'"},
+)
+
+
+@register("scan_csv_detected", "SELECT p_partkey, p_name || ', \"' || p_brand || '\"; it''s' AS p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def scan_csv_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder, four dialects, cells that hold delimiters and quotation marks."""
+    text = F.concat("p_name", F.lit(', "'), "p_brand", F.lit("\"; it's"))
+    part, folder = load(spark, sf_dir, "part").withColumn("p_name", text), scratch_path(spark) + "/"
+    for k, dialect in enumerate(_PART_DIALECTS):
+        rows = part.where(F.col("p_partkey") % len(_PART_DIALECTS) == k)
+        rows.write.options(header=True, **{"escape": '"', **dialect}).csv(f"{folder}{k}")
+    return read_table_files(spark, folder, "org.apache.hadoop.mapred.TextInputFormat")
+
+
+@register(
+    "scan_csv_headless",
+    """SELECT o_orderkey AS column0, o_orderstatus AS column1, o_totalprice AS column2, o_orderdate AS column3,
+    CASE WHEN o_custkey % 3 > 0 THEN o_custkey END AS column4, CAST(o_orderdate AS DATE) AS column5,
+    o_totalprice > 100000 AS column6 FROM orders""",
+)
+def scan_csv_headless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No header, and cells of every type that is found, empty ones too."""
+    orders = load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+        F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")), F.to_date("o_orderdate"), F.col("o_totalprice") > 100000,
+    )
+    folder = scratch_path(spark) + "/"
+    orders.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(folder, sep="|")
+    return read_csv_detected(spark, folder)
+
+
+@register(
+    "scan_json_detected",
+    """SELECT o_orderkey, o_totalprice, o_orderstatus,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS note,
+    o_custkey AS buyer_id, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS buyer_rank FROM orders""",
+)
+def scan_json_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows an object a line, half an array a file, with different nested members."""
+    orders, folder = load(spark, sf_dir, "orders"), scratch_path(spark) + "/"
+    even, odd = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
+    flat = even.select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderpriority").alias("note"),
+        F.struct(F.col("o_custkey").alias("id")).alias("buyer"),
+    )
+    flat.write.json(folder + "lines")
+    row = F.struct(
+        "o_orderkey", "o_totalprice", "o_orderstatus",
+        F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("rank")).alias("buyer"),
+    )
+    # A partition is a file: every array has the rows of a few thousand keys.
+    key = F.expr("o_orderkey div 4000").alias("part")
+    arrays = odd.groupBy(key).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays.write.partitionBy("part").format("text").save(folder + "arrays")
+    found = read_json_detected(spark, folder, "part-*")
+    return found.select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", "note",
+        F.col("buyer.id").alias("buyer_id"), F.col("buyer.rank").alias("buyer_rank"),
+    )
+
+
+@register(
+    "scan_parquet_union",
+    """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, NULL AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, c_name, c_nationkey, NULL, c_mktsegment FROM customer WHERE c_custkey % 2 = 1""",
+)
+def scan_parquet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads: an int that became a bigint, a column that went and one that came."""
+    customer, folder = load(spark, sf_dir, "customer"), scratch_path(spark)
+    customer.where("c_custkey % 2 = 0").drop("c_mktsegment").write.parquet(f"{folder}/1")
+    later = customer.where("c_custkey % 2 = 1").drop("c_acctbal")
+    later.withColumn("c_nationkey", F.col("c_nationkey").cast("bigint")).write.parquet(f"{folder}/2")
+    return read_parquet_union(spark, [f"{folder}/1", f"{folder}/2"])
+
+
 # --- projections ---------------------------------------------------------------
 
 
@@ -321,3 +400,28 @@ def upsert_bucketed_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = _made(lines, "bucketed", Layout(bucket_by=keys, buckets=8))
     tables.upsert_table(lines.where("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") * 2), name, keys)
     return spark.table(name)
+
+
+# --- loads whose schema changes --------------------------------------------------
+
+
+@register(
+    "load_evolving",
+    """
+    SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS s_name,
+        CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 5000000000 ELSE s_nationkey END AS s_nationkey, s_acctbal,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'seen' END AS remark
+    FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 AND s_suppkey % 2 = 0
+    UNION ALL
+    SELECT s_suppkey, upper(s_name), s_nationkey + 5000000000, NULL, 'seen' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 1
+    """,
+)
+def load_evolving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge that brings a new column and a wider type, and lacks a column."""
+    supplier = load(spark, sf_dir, "supplier")
+    name = _made(supplier.where("s_suppkey % 2 = 0"), "evolving")
+    later = supplier.where("s_suppkey % 3 = 0").select(
+        "s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_nationkey") + 5_000_000_000).alias("s_nationkey"), F.lit("seen").alias("remark")
+    )
+    tables.load_table(later, name, "s_suppkey", evolve=True)
+    return spark.table(name)

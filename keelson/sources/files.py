@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from .detect import read_csv_detected, read_json_detected
+
 _CSV_TIMESTAMPS = "yyyy-MM-dd HH:mm:ss"
 # Columns go by the names in the header, and a row that does not fit is an error.
 _STRICT_CSV = {"enforceSchema": False, "mode": "FAILFAST"}
@@ -28,18 +30,22 @@ def read_table_files(
 ) -> DataFrame:
     """The files of an external table: those that start with ``location`` and have the format's suffix.
 
-    A location ending in ``/`` is a folder and is listed in parallel. Without a
-    schema CSV and JSON are read twice, once to find the types; pass one for
-    large tables. A CSV header that differs from the schema is an error, and so is a row
-    with a wrong field or number of fields.
+    A location ending in ``/`` is a folder and is listed in parallel. Without a schema
+    the form of CSV and JSON files is found from their first lines, as in
+    ``read_csv_detected`` and ``read_json_detected``. With one, CSV has commas and a
+    header; a header that differs from the schema is an error, and so is a row with a
+    wrong field or number of fields.
     """
     reader_format = file_format(input_format)
+    pattern = f"*.{reader_format}"
+    if schema is None and reader_format != "parquet":
+        detected = read_csv_detected if reader_format == "csv" else read_json_detected
+        return detected(spark, location if location.endswith("/") else location + pattern, pattern)
     reader = spark.read.format(reader_format)
     if schema is not None:
         reader = reader.schema(schema)
     if reader_format == "csv":
-        reader = reader.options(header=True, inferSchema=schema is None, **_STRICT_CSV)
-    pattern = f"*.{reader_format}"
+        reader = reader.options(header=True, **_STRICT_CSV)
     if location.endswith("/"):
         return reader.option("pathGlobFilter", pattern).load(location)
     return reader.load(location + pattern)

@@ -24,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession, functions as F, types as T
 
+from ..functions.schemas import as_schema, union_schemas
 from ..operators.columns import conform
 from ..operators.joins import quoted
 from ..operators.keyfilter import change_touched_rows
@@ -296,6 +297,24 @@ def add_table_column(spark: SparkSession, name: str, column: str, data_type: str
     spark.sql(f"ALTER TABLE {table_name(name)} ADD COLUMN {quoted_column} {data_type}{tail}")
 
 
+def widen_table(spark: SparkSession, name: str, schema: T.StructType) -> bool:
+    """Give a table the columns and wider types it needs to hold rows of ``schema``; whether it changed.
+
+    New columns are nullable and read null in the rows already there; for them alone no
+    row is written. Wider types rewrite the table. Types that do not widen are an error.
+    """
+    have = spark.table(name).schema
+    want = union_schemas(have, schema)
+    known = {f.name: f.dataType for f in have.fields}
+    new = [f for f in want.fields if f.name not in known]
+    if any(known.get(f.name, f.dataType) != f.dataType for f in want.fields):
+        replace(as_schema(spark.table(name), want), name)
+    else:
+        for f in new:
+            add_table_column(spark, name, f.name, f.dataType.simpleString(), f.metadata.get("comment"))
+    return len(new) > 0 or _types(have) != _types(spark.table(name).schema)
+
+
 def load_table(
     source: DataFrame,
     name: str,
@@ -303,22 +322,27 @@ def load_table(
     mode: str | None = None,
     location: str | None = None,
     layout: Layout = Layout(),
+    evolve: bool = False,
 ) -> int:
     """Load a frame into a table and return the table's row count.
 
     An absent table is created with the source's columns and the given layout, and
     filled. Else mode ``merge`` with keys merges and everything else appends. The default
-    mode is ``merge`` with keys and ``append`` without.
+    mode is ``merge`` with keys and ``append`` without. ``evolve`` first gives the table
+    columns and wider types that the source brings; columns that the source lacks stay as
+    they are in merged rows and are null in new ones.
     """
     spark = source.sparkSession
     keys = parse_keys(keys)
     mode = mode or ("merge" if keys else "append")
     if not create_from(source, name, location, layout):
+        if evolve:
+            widen_table(spark, name, source.schema)
         if mode == "merge" and keys:
-            with _staged(_as_stored(source, name)) as staged:
+            with _staged(_as_stored(source, name, partial=evolve)) as staged:
                 _upsert(name, staged, keys, merge_upsert)
         else:
-            append(source, name)
+            append(as_schema(source, spark.table(name).schema) if evolve else source, name)
     return spark.table(name).count()
 
 
@@ -375,10 +399,17 @@ def _describe(spark: SparkSession, name: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table_name(name)} AS JSON").first()[0])
 
 
-def _as_stored(source: DataFrame, name: str) -> DataFrame:
-    """The source with the table's columns; an empty text that names a partition reads back as null."""
+def _as_stored(source: DataFrame, name: str, partial: bool = False) -> DataFrame:
+    """The source with the table's columns, or with those it has if ``partial``.
+
+    An empty text that names a partition reads back as null.
+    """
     spark = source.sparkSession
     schema = spark.table(name).schema
+    if partial:
+        have = {c.lower() for c in [*source.columns, *table_layout(spark, name).partition_by]}
+        schema = T.StructType([f for f in schema.fields if f.name.lower() in have])
+        source = as_schema(source, schema) if set(map(str.lower, source.columns)) == have else source
     rows = conform(source, schema)
     texts = [p for p in table_layout(spark, name).partition_by if isinstance(schema[p].dataType, T.StringType)]
     return rows.withColumns({p: F.nullif(quoted(p), F.lit("")) for p in texts}) if texts else rows
@@ -445,8 +476,12 @@ def _register(spark: SparkSession, name: str, location: str, schema: T.StructTyp
     spark.catalog.createTable(name, path=location, source=_FORMAT, schema=schema)
 
 
+def _types(schema: T.StructType) -> list[tuple[str, T.DataType]]:
+    return [(f.name, f.dataType) for f in schema.fields]
+
+
 def _same_columns(one: T.StructType, other: T.StructType) -> bool:
-    return [(f.name, f.dataType) for f in one.fields] == [(f.name, f.dataType) for f in other.fields]
+    return _types(one) == _types(other)
 
 
 def _literal(text: str) -> str:

@@ -1,0 +1,178 @@
+"""Detected CSV and JSON files against DuckDB's own detection, and schemas that differ."""
+
+import json
+
+import duckdb
+import pytest
+from pyspark.sql import types as T
+
+from keelson.functions.schemas import SchemaClash, as_schema, union_frames, union_schemas, widened
+from keelson.sources import tables
+from keelson.sources.detect import list_files, read_csv_detected, read_json_detected, read_parquet_union, sniff_csv
+from keelson.sources.files import read_table_files
+
+CSV = {
+    "comma": 'id,name,amount\n1,"Smith, J",2.5\n2,"say ""hi""",3\n3,,\n',
+    "semicolon": "id;name;amount\n1;a,b,c;2\n2;d,e;3\n",
+    "tab": "id\tname\twhen\n1\tx y\t2024-01-05\n2\tz\t2024-02-06\n",
+    "pipe_single_quotes": "id|name|ok\n1|'a|b'|true\n2|'it''s'|false\n",
+    "no_header": "1,x,2024-01-05 10:00:00\n2,y,2024-01-05 10:00:01\n",
+    "no_header_quoted": '"1";"a;b";0.5\n"2";"c";1e3\n',
+    "all_text": "first,second\na,b\nc,d\n",
+    "mixed_numbers": "a,b\n1,1\n2.5,x\n,3\n",
+    "dates_and_stamps": "a,b\n2024-01-01,2024-01-01\n2024-01-02 10:00:00,2024-01-02\n",
+    "words_after_quotes": "a;b\n'tis;1\nx;2\n",
+    "one_column": "v\n1\n2\n",
+    "crlf": "id,name\r\n1,a\r\n2,b\r\n",
+    "new_line_in_quotes": 'id,name\n1,"two\nlines"\n2,b\n',
+}
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.fixture
+def folder(tmp_path):
+    def put(**files):
+        for name, text in files.items():
+            (tmp_path / name.replace("__", ".")).write_text(text, newline="")
+        return f"{tmp_path}/"
+
+    return put
+
+
+@pytest.mark.parametrize("name", CSV)
+def test_a_file_reads_as_in_duckdb(spark, folder, name):
+    at = folder(**{f"{name}__csv": CSV[name]})
+    mine = read_csv_detected(spark, at)
+    theirs = duckdb.sql(f"SELECT * FROM read_csv('{at}{name}.csv')")
+    assert mine.columns == theirs.columns
+    assert [TYPES[f.dataType.simpleString()] for f in mine.schema] == [str(t) for t in theirs.types]
+    assert sorted(map(tuple, mine.collect()), key=repr) == sorted(theirs.fetchall(), key=repr)
+
+
+def test_files_of_several_dialects_in_one_folder(spark, folder):
+    at = folder(a__csv="id,name\n1,x\n", b__csv="name;id;more\ny;2.5;true\n", c__csv="", d__txt="id,name\n9,z\n")
+    found = read_csv_detected(spark, at)
+    assert sorted(map(tuple, found.collect())) == [(1.0, "x", None), (2.5, "y", True)]
+    assert found.columns == ["id", "name", "more"] and len(list_files(spark, at, "*")) == 3
+
+
+def test_a_later_cell_that_does_not_fit_is_an_error(spark, folder):
+    at = folder(a__csv="n,m\n" + "1,2\n" * 20 + "x,2\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        read_csv_detected(spark, at, head_lines=10).collect()
+    assert read_csv_detected(spark, at).schema["n"].dataType == T.StringType()
+
+
+def test_a_record_cut_by_the_sample_is_left_out():
+    dialect, types = sniff_csv(["a,b", "1,2", '3,"cut'], more=True)
+    assert dialect.header and types == [T.LongType(), T.LongType()]
+    with pytest.raises(ValueError):
+        sniff_csv(["a,b", "1;2;3", "1|2|3|4", "x\ty", "1,2,3,4,5"])
+
+
+def test_no_files_is_an_error(spark, folder):
+    with pytest.raises(ValueError):
+        read_csv_detected(spark, folder(a__csv=""))
+    with pytest.raises(ValueError):
+        read_json_detected(spark, folder())
+
+
+JSON = {
+    "lines": '{"id": 1, "at": {"x": 1}, "tags": ["a"]}\n{"id": 2, "at": null, "tags": []}\n',
+    "array": '[{"id": 3, "at": {"x": 2, "y": "b"}, "tags": ["c", "d"]}, {"id": 4}]',
+    "pretty": '\n  [\n {"id": 5,\n "more": 1.5}\n]\n',
+    "object": '{\n "id": 6,\n "at": {"x": 9}\n}',
+}
+
+
+def _plain(value):
+    """Rows and structs as dictionaries without null members."""
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items() if v is not None} or None
+    return value
+
+
+def test_lines_and_arrays_in_one_folder_read_as_in_duckdb(spark, folder):
+    at = folder(**{f"{k}__json": v for k, v in JSON.items()})
+    mine = read_table_files(spark, at, "org.openx.data.jsonserde.JsonInputFormat")
+    theirs = duckdb.sql(f'SELECT id, to_json("at") AS w, to_json(tags) AS tags, more FROM read_json(\'{at}*.json\', union_by_name=true)')
+    expected = []
+    for i, where, tags, more in theirs.fetchall():
+        expected.append(_plain({"id": i, "at": json.loads(where) if where else None, "tags": json.loads(tags) if tags else None, "more": more}))
+    found = [_plain(r.asDict(recursive=True)) for r in mine.collect()]
+    assert sorted(found, key=lambda r: r["id"]) == sorted(expected, key=lambda r: r["id"])
+    assert [r["id"] for r in sorted(found, key=lambda r: r["id"])] == [1, 2, 3, 4, 5, 6]
+
+
+def test_json_types_that_clash_between_forms_are_text(spark, folder):
+    at = folder(a__json='{"v": {"x": 1}, "n": 1}\n', b__json='[{"v": 7, "n": 0.5}]')
+    found = sorted(map(tuple, read_json_detected(spark, at).select("v", "n").collect()))
+    assert found == [("7", 0.5), ('{"x": 1}', 1.0)]
+
+
+# --- schemas -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("one, other, wide", [
+    ("int", "bigint", "bigint"), ("tinyint", "smallint", "smallint"), ("float", "double", "double"), ("int", "double", "double"),
+    ("int", "decimal(5,2)", "decimal(12,2)"), ("decimal(10,2)", "decimal(6,4)", "decimal(12,4)"), ("date", "timestamp_ntz", "timestamp_ntz"),
+    ("void", "string", "string"), ("array<int>", "array<bigint>", "array<bigint>"), ("map<string,int>", "map<string,double>", "map<string,double>"),
+    ("struct<a:int>", "struct<a:bigint,b:string>", "struct<a:bigint,b:string>"),
+    ("bigint", "double", None), ("string", "int", None), ("array<int>", "int", None), ("decimal(38,0)", "decimal(38,10)", None), ("boolean", "int", None),
+])
+def test_widening(spark, one, other, wide):
+    a, b = (spark.createDataFrame([], f"v {t}").schema["v"].dataType for t in (one, other))
+    for x, y in ((a, b), (b, a)):
+        if wide is None:
+            with pytest.raises(SchemaClash, match="col"):
+                widened(x, y, "col")
+            assert widened(x, y, on_clash=T.StringType()).simpleString() == ("double" if {one, other} == {"bigint", "double"} else "string")
+        else:
+            assert widened(x, y).simpleString() == wide
+
+
+def test_union_of_frames(spark, rows):
+    one = spark.createDataFrame([(1, (1,), [(1,)])], "id int, at struct<x:int>, list array<struct<x:int>>")
+    two = spark.createDataFrame([(2**40, ("b", 2), None, None), (3, None, [(5, "c")], True)], "ID bigint, at struct<y:string,x:bigint>, list array<struct<x:int,y:string>>, more boolean")
+    found = union_frames(one, two)
+    assert found.schema.simpleString() == "struct<id:bigint,at:struct<x:bigint,y:string>,list:array<struct<x:int,y:string>>,more:boolean>"
+    assert [r.asDict(recursive=True) for r in found.orderBy("id").collect()] == [
+        {"id": 1, "at": {"x": 1, "y": None}, "list": [{"x": 1, "y": None}], "more": None},
+        {"id": 3, "at": None, "list": [{"x": 5, "y": "c"}], "more": True},
+        {"id": 2**40, "at": {"x": 2, "y": "b"}, "list": None, "more": None},
+    ]
+    with pytest.raises(SchemaClash, match="at.x"):
+        union_schemas(one.schema, spark.createDataFrame([], "at struct<x:string>").schema)
+    assert as_schema(one, one.schema).collect() == one.collect()
+
+
+def test_parquet_loads_that_differ(spark, tmp_path):
+    spark.range(3).selectExpr("cast(id AS int) AS id", "'a' AS gone").write.parquet(f"{tmp_path}/1")
+    spark.range(3, 5).selectExpr("id", "1 AS come").write.parquet(f"{tmp_path}/2")
+    found = read_parquet_union(spark, [f"{tmp_path}/1", f"{tmp_path}/2"])
+    assert found.columns == ["id", "gone", "come"] and found.agg({"id": "sum"}).first()[0] == 10
+
+
+@pytest.mark.parametrize("layout", [tables.Layout(), tables.Layout(partition_by=("part",)), tables.Layout(bucket_by=("id",), buckets=3)])
+@pytest.mark.parametrize("mode", ["merge", "append"])
+def test_a_load_may_add_columns_and_widen(spark, table, rows, layout, mode):
+    name = table()
+    tables.load_table(spark.createDataFrame([(1, "a", 5, "p"), (2, "b", 6, "q")], "id int, v string, n int, part string"), name, layout=layout)
+    later = spark.createDataFrame([(2, 7 * 10**10, "new", "q"), (3, 8, "new", "r")], "id int, n bigint, extra string, part string")
+    assert tables.load_table(later, name, "id", mode, evolve=True) == (3 if mode == "merge" else 4)
+    found = rows(spark.table(name), "id", "v", "n", "part", "extra")
+    kept = [(2, "b", 7 * 10**10, "q", "new")] if mode == "merge" else [(2, "b", 6, "q", None), (2, None, 7 * 10**10, "q", "new")]
+    assert found == sorted([(1, "a", 5, "p", None), *kept, (3, None, 8, "r", "new")], key=repr)
+    assert tables.table_layout(spark, name) == layout
+
+
+def test_a_load_that_clashes_changes_nothing(spark, table):
+    name = table()
+    tables.load_table(spark.createDataFrame([(1, "a")], "id int, v string"), name)
+    with pytest.raises(SchemaClash, match="v"):
+        tables.load_table(spark.createDataFrame([(2, 1.5)], "id int, v double"), name, evolve=True)
+    with pytest.raises(ValueError):
+        tables.load_table(spark.createDataFrame([(2, "b", 1)], "id int, v string, more int"), name)
+    assert spark.table(name).count() == 1 and spark.table(name).columns == ["id", "v"]
