@@ -15,7 +15,8 @@ from .joins import quoted, spread_join
 _EVALUATIONS = (
     "array<struct<types: array<string>, description: string, status: string, applicableFields: array<string>>>"
 )
-_NAME, _ID = "__lower_name", "__asset_id"
+_NAME, _ID, _STATES = "__lower_name", "__asset_id", "__states"
+_COUNTERS = ("check", "rows", "failing", "absent")
 
 
 class Check(NamedTuple):
@@ -80,6 +81,55 @@ def evaluate_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] =
     return grouped.select(*map(quoted, by), F.array(*evaluations).cast(_EVALUATIONS).alias("evaluations"))
 
 
+def check_state(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> DataFrame:
+    """The counters behind the checks, from one pass: one row per asset and check.
+
+    Columns: those of ``by``, ``check`` (its place), ``rows``, ``failing`` and ``absent``,
+    the rows that lack the check's column. States of parts of a table add up to the state
+    of the whole (``merge_states``), so that an increment costs its own rows only.
+    Without ``by`` no rows still give an asset.
+    """
+    present = {c.lower() for c in df.columns}
+    rows, none = F.count(F.lit(1)), F.lit(0).cast("bigint")
+    counters = []
+    for i, check in enumerate(checks):
+        there = check.column.lower() in present
+        failing = F.count_if(check.failing(quoted(check.column))) if there and check.failing else none
+        missing = F.lit(int(not there)).cast("bigint")
+        counters.append(F.struct(F.lit(i).alias("check"), rows.alias("rows"), failing.alias("failing"), missing.alias("absent")))
+    states = df.groupBy(*map(quoted, by)).agg(F.array(*counters).alias(_STATES))
+    return states.select(*map(quoted, by), F.inline(_STATES))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows from the states of parts that share no row."""
+    by = [c for c in states[0].columns if c not in _COUNTERS]
+    united = states[0]
+    for state in states[1:]:
+        united = united.unionByName(state)
+    return united.groupBy(*map(quoted, by), "check").agg(*(F.sum(c).cast("bigint").alias(c) for c in _COUNTERS[1:]))
+
+
+def evaluate_state(state: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """``evaluate_checks`` from a state: one row per asset with its ``evaluations``.
+
+    A check fails if any row broke it or any part lacked its column.
+    """
+    by = [c for c in state.columns if c not in _COUNTERS]
+    held = F.map_from_entries(F.collect_list(F.struct("check", (F.col("failing") + F.col("absent")).alias("n"))))
+    grouped = state.groupBy(*map(quoted, by)).agg(held.alias(_STATES))
+    evaluations = [
+        F.struct(
+            F.array(*map(F.lit, check.types)).alias("types"),
+            F.lit(check.description).alias("description"),
+            F.when(F.try_element_at(_STATES, F.lit(i)) == 0, "PASS").otherwise("FAIL").alias("status"),
+            F.array(F.lit(check.column)).alias("applicableFields"),
+        )
+        for i, check in enumerate(checks)
+    ]
+    return grouped.select(*map(quoted, by), F.array(*evaluations).cast(_EVALUATIONS).alias("evaluations"))
+
+
 def run_checks(df: DataFrame, checks: Sequence[Check], by: Sequence[str] = ()) -> DataFrame:
     """One row per asset and check: types, description, status, applicable fields."""
     return evaluate_checks(df, checks, by).select(*map(quoted, by), F.inline("evaluations"))

@@ -196,6 +196,11 @@ def high_mark(target: DataFrame, column: str) -> Column | None:
     return marks[0] if marks else None
 
 
+def column_extents(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """The least and the greatest value of each column as literals; None twice if it has no value."""
+    return {c: tuple(_as_literals(df, c, F.min, F.max) or (None, None)) for c in columns}
+
+
 def change_in_key_range(
     target: DataFrame, source: DataFrame, key: str, change: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.quality import (
     allowed_values,
+    check_state,
     column_exists,
     evaluate_checks,
+    evaluate_state,
+    merge_states,
     not_null,
     parses_as_timestamp,
     quality_points,
@@ -149,3 +152,44 @@ def dq_resolve_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dq_resolve_asset_in_project", _NAMES.format(project="AND c_mktsegment = 'BUILDING'"))
 def dq_resolve_asset_in_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir, "BUILDING")
+
+
+_HALVES = """
+    WITH counted AS (
+        SELECT event_type, count(*) AS rows, count(*) FILTER (value > 100) AS large,
+            count(*) FILTER (props IS NOT NULL AND TRY_CAST(props AS TIMESTAMP) IS NULL) AS no_stamp FROM events GROUP BY event_type)
+"""
+
+
+@register(
+    "dq_state_merged",
+    _HALVES
+    + """
+    SELECT event_type, 0 AS "check", rows, 0 AS failing, 0 AS absent FROM counted
+    UNION ALL SELECT event_type, 1, rows, no_stamp, 0 FROM counted
+    UNION ALL SELECT event_type, 2, rows, 0, 2 FROM counted
+    """,
+)
+def dq_state_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of early events plus that of late ones."""
+    events = load(spark, sf_dir, "events")
+    checks = (not_null("user_id"), parses_as_timestamp("props"), column_exists("age"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return merge_states(*(check_state(events.where(part), checks, ["event_type"]) for part in (early, ~early)))
+
+
+@register(
+    "dq_checks_incremental",
+    _HALVES
+    + """
+    SELECT event_type, 'user_id not null' AS description, 'PASS' AS status FROM counted
+    UNION ALL SELECT event_type, 'props parses as timestamp', CASE WHEN no_stamp = 0 THEN 'PASS' ELSE 'FAIL' END FROM counted
+    UNION ALL SELECT event_type, 'age column exists', 'FAIL' FROM counted
+    """,
+)
+def dq_checks_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events")
+    checks = (not_null("user_id"), parses_as_timestamp("props"), column_exists("age"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    state = merge_states(*(check_state(events.where(part), checks, ["event_type"]) for part in (early, ~early)))
+    return evaluate_state(state, checks).select("event_type", F.inline("evaluations")).select("event_type", "description", "status")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.columns import add_audit_columns, add_column, normalize_timestamps
 from ..operators.latest import latest_per_key
 from ..operators.rowlevel import delete_where, update_where
-from ..operators.validation import compare_counts, sample_rows
+from ..operators.validation import compare_counts, sample_rows, schema_rows
 from ..session import scratch_path
 from ..sources import tables
 from ..sources.detect import read_csv_detected, read_json_detected, read_parquet_union
@@ -425,3 +426,102 @@ def load_evolving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tables.load_table(later, name, "s_suppkey", evolve=True)
     return spark.table(name)
+
+
+@register(
+    "table_extents",
+    """
+    SELECT (SELECT count(*) FROM orders) AS rows, min(o_orderkey) AS low_key, max(o_orderkey) AS high_key,
+        min(o_orderdate) AS low_date, max(o_orderdate) AS high_date FROM orders
+    """,
+)
+def table_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and high marks from the footers of the table's files."""
+    name = _made(load(spark, sf_dir, "orders"), "extents")
+    found = tables.table_extents(spark, name, ["o_orderkey", "o_orderdate"])
+    (low, high), (first, last) = found["o_orderkey"], found["o_orderdate"]
+    return spark.range(1).select(
+        F.lit(found["rows"]).alias("rows"), low.alias("low_key"), high.alias("high_key"), first.alias("low_date"), last.alias("high_date")
+    )
+
+
+# --- the rest of the reference's table operations ----------------------------------
+
+
+@register(
+    "schema_as_rows",
+    """
+    SELECT row_number() OVER ()::INT AS position, column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+        WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type, true AS nullable, CAST(NULL AS VARCHAR) AS comment
+    FROM (DESCRIBE orders)
+    UNION ALL SELECT 7, 'source_system', 'string', true, 'where the row came from'
+    """,
+)
+def schema_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _made(load(spark, sf_dir, "orders"), "described")
+    tables.add_table_column(spark, name, "source_system", "string", "where the row came from")
+    return schema_rows(spark.table(name))
+
+
+@register("named_frame", "SELECT c_mktsegment, count(*) AS customers, max(c_acctbal) AS most FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def named_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame under a name that SQL text uses."""
+    customer = load(spark, sf_dir, "customer").where("c_acctbal > 0")
+    return spark.sql("SELECT c_mktsegment, count(*) AS customers, max(c_acctbal) AS most FROM {rich} GROUP BY c_mktsegment", rich=customer)
+
+
+@register(
+    "declared_rows",
+    """SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n.n_name AS nation FROM supplier s
+    JOIN (VALUES (0, 'first'), (1, 'second'), (7, CAST(NULL AS VARCHAR))) n(k, n_name) ON s.s_nationkey = n.k""",
+)
+def declared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a declared schema, put into a table and joined."""
+    name = _fresh("declared")
+    tables.create_table(spark, name, "nation_key int, nation string", scratch_path(spark))
+    tables.append(spark.createDataFrame([(0, "first"), (1, "second"), (7, None)], "nation_key int, nation string"), name)
+    supplier = load(spark, sf_dir, "supplier")
+    return supplier.join(spark.table(name), F.col("s_nationkey") == F.col("nation_key")).drop("nation_key")
+
+
+@register("first_rows", "SELECT count(*) AS n, 5 AS shown FROM (SELECT * FROM part LIMIT 5)")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = load(spark, sf_dir, "part").limit(5)
+    return shown.agg(F.count(F.lit(1)).alias("n")).withColumn("shown", F.lit(5))
+
+
+@register(
+    "table_properties",
+    "SELECT count(*) AS n, 'zstd' AS codec, 'ann' AS owner, 'daily' AS cadence FROM lineitem",
+)
+def table_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codec and properties stay through a change of the table."""
+    name = _made(load(spark, sf_dir, "lineitem"), "properties", Layout(codec="zstd", properties={"owner.name": "ann"}))
+    tables.set_properties(spark, name, {"cadence": "daily"})
+    tables.rewrite(spark, name, lambda t: update_where(t, F.col("l_tax") > 0, {"l_tax": 0}))
+    layout = tables.table_layout(spark, name)
+    return spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.lit(layout.codec).alias("codec"), F.lit(layout.properties["owner.name"]).alias("owner"), F.lit(layout.properties["cadence"]).alias("cadence")
+    )
+
+
+def _unchanged_by_a_failure(spark: SparkSession, sf_dir: str, layout: Layout) -> DataFrame:
+    name = _made(load(spark, sf_dir, "orders"), "failing", layout)
+    last = F.raise_error(F.lit("a task that fails")).cast("double")
+    total = F.when(F.col("o_orderkey") % 977 == 5, last).otherwise(F.col("o_totalprice") * 2)
+    try:
+        tables.rewrite(spark, name, lambda t: t.withColumn("o_totalprice", total))
+    except PySparkException:
+        return spark.table(name)
+    raise AssertionError("the change did not fail")
+
+
+@register("failed_change", "SELECT * FROM orders")
+def failed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task fails midway; the table is as it was."""
+    return _unchanged_by_a_failure(spark, sf_dir, Layout())
+
+
+@register("failed_change_partitioned", "SELECT * FROM orders")
+def failed_change_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unchanged_by_a_failure(spark, sf_dir, _BY_STATUS)

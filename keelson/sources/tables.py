@@ -28,9 +28,10 @@ from ..functions.schemas import as_schema, union_schemas
 from ..operators.columns import conform
 from ..operators.joins import quoted
 from ..operators.keyfilter import change_touched_rows
-from ..operators.rowlevel import change_in_key_range, delete_insert, incremental_extract, keep_matching, merge_upsert
+from ..operators.rowlevel import change_in_key_range, column_extents, delete_insert, keep_matching, merge_upsert
 from ..operators.validation import compare_counts
 from ..session import scratch_path
+from .footers import file_extents
 
 _FORMAT = "parquet"
 _CODEC = "snappy"
@@ -290,6 +291,13 @@ def _upsert(name: str, staged: DataFrame, keys: Sequence[str], operator: Callabl
     _change_partitions(spark, name, touched, change)
 
 
+def set_properties(spark: SparkSession, name: str, properties: Mapping[str, str]) -> None:
+    """Set properties of a table's catalog entry; others stay."""
+    if properties:
+        pairs = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in properties.items())
+        spark.sql(f"ALTER TABLE {table_name(name)} SET TBLPROPERTIES ({pairs})")
+
+
 def add_table_column(spark: SparkSession, name: str, column: str, data_type: str, comment: str | None = None) -> None:
     """Add a nullable column to a table; the rows already there read null."""
     quoted_column = "`" + column.replace("`", "``") + "`"
@@ -371,7 +379,27 @@ def incremental_upsert_table(
     if create_from(source, name):
         total = spark.table(name).count()
         return {"deleted": 0, "inserted": total, "total_in_target": total}
-    return upsert_table(incremental_extract(source, spark.table(name), column), name, keys)
+    mark = table_high_mark(spark, name, column)
+    return upsert_table(source if mark is None else source.where(quoted(column) > mark), name, keys)
+
+
+def table_extents(spark: SparkSession, name: str, columns: Sequence[str]) -> dict:
+    """Row count and ranges of columns: ``{"rows": n, column: (least, greatest)}``, values as literals.
+
+    The footers of the files answer where they can: whole numbers, dates and timestamps of
+    a table without partitions or nested columns. Else the columns are read. A column
+    without values has None twice.
+    """
+    table = spark.table(name)
+    found = None
+    if not table_layout(spark, name).partition_by:
+        found = file_extents(table, table_location(spark, name), columns)
+    return found if found is not None else {"rows": table.count(), **column_extents(table, columns)}
+
+
+def table_high_mark(spark: SparkSession, name: str, column: str) -> Column | None:
+    """The greatest value of a table's column as a literal; None if there is none."""
+    return table_extents(spark, name, [column])[column][1]
 
 
 @contextmanager
@@ -467,9 +495,7 @@ def _create(df: DataFrame, name: str, location: str, layout: Layout) -> None:
     else:
         rows = df.hint("rebalance", *layout.partition_by) if layout.partition_by else df
         _laid_out(rows, layout).option("path", location).saveAsTable(name)
-    if layout.properties:
-        pairs = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in layout.properties.items())
-        spark.sql(f"ALTER TABLE {table_name(name)} SET TBLPROPERTIES ({pairs})")
+    set_properties(spark, name, layout.properties)
 
 
 def _register(spark: SparkSession, name: str, location: str, schema: T.StructType) -> None:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from keelson.functions.expressions import truncated_percentage
 from keelson.operators.quality import (
     allowed_values,
+    check_state,
     column_exists,
     evaluate_checks,
+    evaluate_state,
+    merge_states,
     not_null,
     parses_as_timestamp,
     quality_points,
@@ -104,3 +107,24 @@ def test_asset_names(spark, rows):
     assert ("orders", "id2") in in_project
     ordered = rows(resolve_assets(names, assets, order_by=["project"]))
     assert ("orders", "id2") in ordered
+
+
+def test_states_of_parts_add_up(spark, rows):
+    checks = (not_null("id"), allowed_values("kind", ["a", "b"]), column_exists("more"), column_exists("id"), not_null("more"))
+    old = spark.createDataFrame([("p", 1, "a"), ("p", None, "b"), ("q", 2, "a")], "asset string, id int, kind string")
+    new = spark.createDataFrame([("q", 3, "z", 1), ("r", 4, None, None)], "asset string, id int, kind string, more int")
+    whole = old.unionByName(new.drop("more"))
+    merged = merge_states(check_state(old, checks, ["asset"]), check_state(new, checks, ["asset"]))
+    of = lambda df: {(r.asset, r.check): (r["rows"], r.failing, r.absent) for r in df.collect()}
+    assert of(merged)["q", 1] == (2, 1, 0) and of(merged)["p", 0] == (2, 1, 0) and of(merged)["q", 2] == (2, 0, 1) and of(merged)["r", 4] == (1, 1, 0)
+    without = checks[:2] + checks[3:4]
+    merged = merge_states(*(check_state(part, without, ["asset"]) for part in (old, new.drop("more"), old.limit(0))))
+    assert rows(evaluate_state(merged, without)) == rows(evaluate_checks(whole, without, ["asset"]))
+    assert rows(merged) == rows(check_state(whole, without, ["asset"]))
+
+
+def test_the_state_of_no_rows(spark, rows):
+    checks = (not_null("id"), column_exists("more"))
+    none = spark.createDataFrame([], "asset string, id int")
+    assert check_state(none, checks, ["asset"]).count() == 0
+    assert rows(evaluate_state(check_state(none, checks), checks)) == rows(evaluate_checks(none, checks))
