@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import components, picked, spread_join, stored, texts_as_bytes
 from .registry import load, register
 
 BITS = 64
 SEED = 42
+RADIUS = 2
+CROWD = 64  # members of a table entry that are paired directly
+LAST = 8  # bits of the narrowest segments
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -45,35 +50,87 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return of(text)
 
 
-def near_fingerprints(prints: DataFrame, segments: int = 4) -> DataFrame:
-    """Links ``a``, ``b`` that connect all different fingerprints at 2 or fewer differing bits.
+def _ball(width: int, radius: int) -> list[tuple[int, int]]:
+    """The words of ``width`` bits with at most ``radius`` bits set, and how many are."""
+    flips = ((sum(1 << bit for bit in bits), d) for d in range(radius + 1) for bits in combinations(range(width), d))
+    return [(flip - (1 << 64) if flip >= 1 << 63 else flip, d) for flip, d in flips]
+
+
+def _segment(fp: Column, low: Column, width: int) -> Column:
+    shifted = F.call_function("shiftrightunsigned", fp, low)
+    return shifted.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+def _entries(rows: DataFrame, width: int, radius: int, probing: bool) -> DataFrame:
+    """The table entries of each row, or those that it probes, by both segments of its open bits.
+
+    A row has ``fp``, ``key``, ``low`` (where its open bits begin; there are twice ``width``)
+    and ``left`` (how many of them may differ). Of two words that differ in at most ``left``
+    open bits one segment differs in at most half as many. So a row's table entries hold
+    its own segments, and it probes the Hamming ball of that radius around each. The
+    distance spent there is part of the key.
+    """
+    halves = F.explode(F.array(F.lit(0), F.lit(1))).alias("h")
+    rows = rows.select("fp", "key", "low", "left", F.expr("left div 2").cast("int").alias("most"), halves)
+    own = _segment(F.col("fp"), F.col("low") + F.col("h") * width, width)
+    if probing:
+        balls = F.array(*(
+            F.array(*(F.struct(F.lit(f).cast("bigint").alias("flip"), F.lit(d).alias("d")) for f, d in _ball(width, r)))
+            for r in range(radius // 2 + 1)
+        ))
+        rows = rows.select("*", F.inline(F.element_at(balls, F.col("most") + 1)))
+        own = own.bitwiseXOR(F.col("flip"))
+    else:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("d"))
+    place = F.col("low") + F.col("h") * width
+    return rows.select(
+        "fp",
+        F.xxhash64("key", place, own, "d").alias("key"),
+        (F.col("low") + (1 - F.col("h")) * width).alias("low"),
+        (F.col("left") - F.col("d")).alias("left"),
+    )
+
+
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """All pairs ``a`` > ``b`` of different fingerprints that differ in at most ``radius`` bits.
 
-    ``prints`` has a bigint column ``fp``. For each of ``segments`` segments, the Hamming
-    ball of radius one is enumerated inside the segment, the others unchanged, and every
-    element is a table entry. Two fingerprints differ in at most two bits exactly if they
-    share an entry: one of the two, or the word half way between them. So an entry has at
-    most 65 fingerprints, however many near copies there are; each is linked to the
-    smallest of its entry, after their complete distance has been checked. Not every
-    pair is returned, but the links reach all that the pairs reach.
+    ``prints`` has a bigint column ``fp``. Fingerprints are put into tables by segment
+    number and segment value, two segments of 32 bits at first. Each probes the small
+    Hamming balls inside its segments, and the complete distance of every match is
+    checked. An entry of more than ``crowd`` members would give all pairs of a large group
+    of near copies; its members are bucketed on a second segment instead, half of the bits
+    that the entry leaves open, and so on until eight bits are open.
     """
-    width = BITS // segments
-    flips = [F.lit(0).cast("bigint")]
-    for segment in range(segments):
-        flips += [F.expr(f"shiftleft(1L, {bit})") for bit in range(segment * width, (segment + 1) * width)]
-    flips += [F.expr(f"shiftleft(1L, {bit})") for bit in range(segments * width, BITS)]
-    entries = prints.select("fp").distinct().select("fp", F.explode(F.array(*flips)).alias("flip"))
-    entries = entries.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"))
-    found = entries.withColumn("low", F.min("fp").over(Window.partitionBy("entry"))).where("fp <> low")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2
-    return found.where(near).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    if not 0 <= radius < BITS // 2:
+        raise ValueError(f"the radius must be below {BITS // 2}")
+    zero = F.lit(0)
+    rows = prints.select("fp").where("fp is not null").distinct()
+    table = probes = stored(rows.select("fp", zero.cast("bigint").alias("key"), zero.alias("low"), F.lit(radius).alias("left")))
+    pairs, width = None, BITS // 2
+    while True:
+        table, probes = _entries(table, width, radius, False), _entries(probes, width, radius, True)
+        crowded = None
+        if width > LAST:
+            crowded = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+            crowded = stored(crowded)
+        cold = table if crowded is None else spread_join(table, crowded, ["key"], "left_anti")
+        met = probes.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key")
+        met = met.where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+        met = stored(met.select("a", "b").distinct())
+        pairs = met if pairs is None else pairs.union(met)
+        if crowded is None or crowded.isEmpty():
+            return pairs.distinct()
+        table = stored(spread_join(table, crowded, ["key"], "left_semi"))
+        probes = stored(spread_join(probes, crowded, ["key"], "left_semi"))
+        width //= 2
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
-    ``component_id`` is the smallest id that links of at most two differing bits reach.
+    ``component_id`` is the smallest id that links of at most ``radius`` differing bits reach.
     Documents of one fingerprint are linked. Null and blank texts have fingerprint zero.
     A null id is kept as a row and links others, but names no component unless every id
     of the component is null. Rows that share an id each get a row. Other columns are
@@ -83,7 +140,7 @@ def near_duplicates(
         picked(docs, doc_id=id_col, text=text_col).select("doc_id", fingerprints(F.col("text"), shingle).alias("fp"))
     )
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(near_fingerprints(prints)).withColumnsRenamed({"node": "fp", "component": "root"})
+    groups = components(near_fingerprints(prints, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = stored(firsts.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = spread_join(rooted, smallest, ["root"], "left").select("fp", "component_id")

@@ -119,22 +119,34 @@ def test_simhash(docs, corpus):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in out.collect()) == expected
 
 
-def test_near_fingerprints_connect_as_all_pairs_do(spark):
+@pytest.mark.parametrize("radius, crowd", [(0, 64), (1, 64), (2, 64), (2, 2), (3, 1), (5, 4)])
+def test_near_fingerprints_are_all_pairs_in_the_radius(spark, radius, crowd):
+    """Chains of near words, dense balls around one word, both extremes, and a null."""
     rng = random.Random(2)
-    prints = {0, (1 << 64) - 1}
-    for _ in range(30):
+    prints = {0, 1, (1 << 64) - 1, (1 << 63) - 1, 1 << 63}
+    for _ in range(20):
         at = rng.getrandbits(64)
         for _ in range(8):
             prints.add(at)
             for _ in range(rng.randint(1, 4)):
                 at ^= 1 << rng.randrange(64)
+    centre = rng.getrandbits(64)
+    prints |= {centre ^ 1 << i for i in range(64)} | {centre ^ 3 << i for i in range(0, 63, 5)}
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
-    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2
-    roots = smallest(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if near(prints[i], prints[j])])
-    links = simhash.near_fingerprints(spark.createDataFrame([(p,) for p in prints], "fp bigint")).collect()
-    assert all(near(r.a, r.b) for r in links)
-    index = {p: i for i, p in enumerate(prints)}
-    assert smallest(len(prints), [(index[r.a], index[r.b]) for r in links]) == roots
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius
+    expected = {(x, y) for x in prints for y in prints if x > y and near(x, y)}
+    links = simhash.near_fingerprints(spark.createDataFrame([(p,) for p in [*prints, *prints[:5], None]], "fp bigint"), radius, crowd).collect()
+    assert len(links) == len(expected) and {(r.a, r.b) for r in links} == expected
+
+
+def test_an_entry_of_many_members_is_split(spark):
+    """Words that share a half: their pairs are not all compared."""
+    rng = random.Random(4)
+    half = rng.getrandbits(31) << 32
+    prints = list({half | rng.getrandbits(32) for _ in range(2000)})
+    links = simhash.near_fingerprints(spark.createDataFrame([(p,) for p in prints], "fp bigint"), 2, 16).collect()
+    expected = {(max(a, b), min(a, b)) for k, a in enumerate(prints) for b in prints[:k] if (a ^ b).bit_count() <= 2}
+    assert {(r.a, r.b) for r in links} == expected
 
 
 def test_components(spark):
