@@ -37,10 +37,21 @@ TEMPLATES: dict[str, str] = {
         " conditions: The above copyright notice and this permission notice shall be included in all copies or"
         " substantial portions of the Software."
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+        " the following conditions are met: Redistributions of source code must retain the above copyright notice, this"
+        " list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
+        " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
+        " materials provided with the distribution."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
         " the following conditions are met: Redistributions of source code must retain the above copyright notice, this"
-        " list of conditions and the following disclaimer."
+        " list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
+        " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other"
+        " materials provided with the distribution. Neither the name of the copyright holder nor the names of its"
+        " contributors may be used to endorse or promote products derived from this software without specific prior"
+        " written permission."
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
@@ -48,11 +59,31 @@ TEMPLATES: dict[str, str] = {
     ),
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
+        " Public License as published by the Free Software Foundation, either version 2 of the License, or (at your"
+        " option) any later version."
+    ),
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
         " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
         " option) any later version."
     ),
+    "LGPL-2.1-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your"
+        " option) any later version."
+    ),
+    "LGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version."
+    ),
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": (
@@ -63,10 +94,14 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
 }
+ALIKE = 0.6  # share of the words of the longer template from which two are taken to be alike
+TELLING = 0.8
 # Words that every notice holds at least one of; notices are sought around them.
 CUES = rb"(?i:licen[cs]e|copyright|rights[^A-Za-z0-9]+reserved|redistribut|public[^A-Za-z0-9]+domain|hereby[^A-Za-z0-9]+granted)"
 _CUE = re.compile(CUES)
@@ -86,6 +121,18 @@ def words(text: bytes) -> list[bytes]:
     return [_word(w) for w in _WORD.findall(text)]
 
 
+def _parameters() -> zstandard.ZstdCompressionParameters:
+    """Settings under which what is not matched is stored as it is.
+
+    Entropy coding of the rest of a small block sets in at a certain size; it would hide
+    or feign the few bytes that a short template saves.
+    """
+    return zstandard.ZstdCompressionParameters(
+        compression_level=1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4, window_log=17, hash_log=14,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+
+
 def _reach(length: int) -> int:
     """Words that a notice of a template of ``length`` words may span, with those put in between."""
     return length + length // 2 + 4
@@ -130,34 +177,56 @@ class Finding:
 class Matcher:
     """Finds the notices in the blocks around cues, each with the template that explains it best.
 
-    Around each cue, as many words as a template may span are compared with it word by
-    word: ``coverage`` of its words must appear in order, not spread over more than
-    ``_reach`` words, and no word with a digit may differ, so that one version is not taken
-    for another. The words from the first to the last of these are compressed alone and
-    with the template as a raw-content dictionary; the template is confirmed if that saves
-    at least the share ``least`` of what it saves on the template itself. So the text around
-    a notice has no influence. Of confirmed notices that overlap the one with most words in
-    common wins, then fewer differences, then the larger reduction; what it leaves is
-    searched again.
+    A block of as many words on both sides of a cue as a notice of the template may span
+    is compressed alone and with the template as a raw-content dictionary. A template is a
+    candidate if that saves at least the share ``least`` of the bytes that it saves on
+    itself; the rest of the block hardly matters, because it costs the same both times.
+    Candidates are ranked by the bytes saved, so that of two templates that begin alike the
+    one that explains more comes first. Their wording decides: ``coverage`` of the
+    template's words must stand in the block in order, not spread over more than ``_reach``
+    words, no word with a digit may differ, and of the words that tell the template from
+    one that is like it ``TELLING`` must be there, and not half of the other's. Of confirmed notices that
+    overlap the first in rank wins, then the one with fewer differences; what it leaves is
+    compressed and searched again.
     """
 
-    def __init__(self, templates: Mapping[str, str] = TEMPLATES, least: float = 0.2, coverage: float = 0.85) -> None:
+    def __init__(self, templates: Mapping[str, str] = TEMPLATES, least: float = 0.4, coverage: float = 0.85) -> None:
         self.least, self.coverage = least, coverage
         self.names = sorted(templates)
         self.wording = [words(templates[n].encode()) for n in self.names]
         self.counts = [Counter(w) for w in self.wording]
         self.reach = [_reach(len(w)) for w in self.wording]
-        options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.alone = zstandard.ZstdCompressor(**options)
+        self.alone = zstandard.ZstdCompressor(compression_params=_parameters())
         plain = [b" ".join(w) for w in self.wording]
         self.given = [
-            zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
+            zstandard.ZstdCompressor(
+                dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=_parameters()
+            )
             for t in plain
         ]
-        self.own_saving = [len(self.alone.compress(t)) - len(c.compress(t)) for t, c in zip(plain, self.given)]
+        self.own_saving = [self.saving(k, t) for k, t in enumerate(plain)]
+        # For each template that is like another: the words that only one of the two holds.
+        self.apart: list[list[tuple[set[bytes], set[bytes]]]] = [
+            [
+                (set(own) - set(other), set(other) - set(own))
+                for j, other in enumerate(self.counts)
+                if j != k and (own & other).total() >= ALIKE * max(own.total(), other.total())
+            ]
+            for k, own in enumerate(self.counts)
+        ]
+
+    def saving(self, k: int, text: bytes) -> int:
+        """Bytes that template ``k`` as a dictionary takes off the compressed text."""
+        return len(self.alone.compress(text)) - len(self.given[k].compress(text))
 
-    def compare(self, k: int, own: Sequence[bytes]) -> tuple[int, int, float, int, int] | None:
-        """Words in common, differences, reduction and span of the notice of template ``k`` in ``own``."""
+    def ranked(self, block: Sequence[bytes]) -> list[tuple[int, int]]:
+        """The templates that explain a block of words: bytes saved and template, best first."""
+        text = b" ".join(block)
+        saved = ((self.saving(k, text), k) for k in range(len(self.names)))
+        return sorted(((n, k) for n, k in saved if n >= self.least * self.own_saving[k]), key=lambda c: (-c[0], c[1]))
+
+    def compare(self, k: int, own: Sequence[bytes]) -> tuple[int, int, int] | None:
+        """Differences and span of the notice of template ``k`` in ``own``; None if the wording is another."""
         template = self.wording[k]
         least = self.coverage * len(template)
         if sum(min(n, own.count(w)) for w, n in self.counts[k].items()) < least:
@@ -171,16 +240,20 @@ class Matcher:
                 span = same[j].b + same[j].size - same[i].b
                 if span > self.reach[k]:
                     break
-                if common < least or best and 2 * common - span <= best[0] or not self._same_numbers(template, own, same[i : j + 1]):
+                if common < least or best and 2 * common - span <= best[0] or not self._same_wording(k, own, same[i : j + 1]):
                     continue
-                best = 2 * common - span, common, len(template) - common + span - common, same[i].b, same[i].b + span
-        if not best:
-            return None
-        _, common, differences, first, last = best
-        text = b" ".join(own[first:last])
-        alone = len(self.alone.compress(text))
-        saved = alone - len(self.given[k].compress(text))
-        return (common, differences, saved / alone, first, last) if saved >= self.least * self.own_saving[k] else None
+                best = 2 * common - span, len(template) - common + span - common, same[i].b, same[i].b + span
+        return best[1:] if best else None
+
+    def _same_wording(self, k: int, own: Sequence[bytes], same: list) -> bool:
+        """Neither numbers nor the words that tell the template from another differ."""
+        held = {m.b + i for m in same for i in range(m.size)}
+        there = {own[i] for i in held}
+        added = {own[i] for i in range(same[0].b, same[-1].b + same[-1].size) if i not in held}
+        for needed, foreign in self.apart[k]:
+            if len(needed & there) < TELLING * len(needed) or foreign and 2 * len(foreign & added) >= len(foreign):
+                return False
+        return self._same_numbers(self.wording[k], own, same)
 
     @staticmethod
     def _same_numbers(template: list[bytes], own: Sequence[bytes], same: list) -> bool:
@@ -194,33 +267,41 @@ class Matcher:
             before = at.get(i, before)
         return True
 
-    def notices(self, own: list[bytes], cues: list[int]) -> list[tuple[int, int, int, float, int]]:
+    def notices(self, own: list[bytes], cues: list[int]) -> list[tuple[int, int, float, int, int]]:
         """Template, differences, reduction and word span of each notice; ``cues``: the places of cue words."""
         taken: list[tuple[int, int]] = []
         waiting: list[tuple] = []
 
-        compare = lru_cache(1024)(lambda k, *own: self.compare(k, own))  # for text that repeats itself
+        # For text that repeats itself.
+        saving = lru_cache(4096)(self.saving)
+        compare = lru_cache(1024)(lambda k, *block: self.compare(k, block))
 
         def look(k: int, cue: int) -> None:
             at = bisect_right(taken, (cue, len(own)))
             low = max(cue - self.reach[k], taken[at - 1][1] if at else 0, 0)
             high = min(cue + self.reach[k], taken[at][0] if at < len(taken) else len(own), len(own))
-            if low <= cue < high and (found := compare(k, *own[low:high])):
-                common, differences, saved, first, last = found
-                heappush(waiting, (-common, differences, -saved, k, low + first, low + last, cue))
+            if not low <= cue < high:
+                return
+            block = own[low:high]
+            saved = saving(k, b" ".join(block))
+            if saved >= self.least * self.own_saving[k] and (found := compare(k, *block)):
+                differences, first, last = found
+                heappush(waiting, (-saved, differences, k, low + first, low + last, cue))
 
         for cue in cues:
             for k in range(len(self.names)):
                 look(k, cue)
         out = []
         while waiting:
-            _, differences, saved, k, first, last, cue = heappop(waiting)
+            saved, differences, k, first, last, cue = heappop(waiting)
             at = bisect_right(taken, (first, last))
             if at and taken[at - 1][1] > first or at < len(taken) and taken[at][0] < last:
                 look(k, cue)
             else:
                 taken.insert(at, (first, last))
-                out.append((k, differences, -saved, first, last))
+                out.append((k, differences, -saved / self.own_saving[k], first, last))
+                if not first <= cue < last:  # the cue's own notice may lie beside it
+                    look(k, cue)
         return sorted(out, key=lambda n: n[3])
 
     def scan(self, text: bytes) -> tuple[int, list[Finding]]:
