@@ -166,7 +166,9 @@ WITH sized AS (
          md5(doc_id::VARCHAR) AS spot
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-ranked AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, source_size * 3 AS cap FROM sums),
+ranked AS (SELECT *, 1 + turn % 3 AS weight, source_size * 3 AS cap,
+    [1.0, 1.5, 0.5][1 + turn % 3]::DOUBLE AS w0, [1.0, 0.5, 1.5][1 + turn % 3]::DOUBLE AS w1
+  FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM sums)),
 levels AS (
   SELECT *, sum(source_size) OVER () AS total,
     total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
@@ -174,23 +176,42 @@ levels AS (
   FROM ranked),
 judged AS (SELECT *, cap * open_weight <= remaining * weight AS capped FROM levels),
 targets AS (
-  SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
+  SELECT source, source_size, w0, w1, CASE WHEN capped THEN cap::DOUBLE ELSE
     (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE * weight::DOUBLE / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target
   FROM judged),
 walked AS (
-  SELECT s.*, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+  SELECT s.*, t.source_size, t.target, w0, w1, round(t.target)::BIGINT AS goal,
     sum(size) OVER (PARTITION BY s.source ORDER BY spot, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (goal // source_size) * size
-     + greatest(0, least(size, goal % source_size - (upto - size))) ELSE 0 END)::BIGINT AS taken
-FROM walked
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+counted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN greatest(0, least(size, goal % source_size - (upto - size))) ELSE 0 END AS rest
+  FROM walked),
+-- each pass: words taken, and the time at which the source's demand reaches the document's middle
+opened AS (
+  SELECT *, CASE WHEN k < whole THEN size ELSE rest END AS own,
+    least((k * source_size + upto - size / 2) / greatest(goal, 1), 1.0::DOUBLE) * (w0 + w1) AS wanted
+  FROM (SELECT *, unnest(range(0, whole::BIGINT + 1)) AS k FROM counted)),
+timed AS (
+  SELECT *, floor(CASE WHEN wanted > 0 THEN least(1.0::DOUBLE, wanted / (w0 + sqrt(w0 * w0 + (w1 - w0) * wanted))) ELSE 0 END * 1e9)::BIGINT AS moment FROM opened)
+SELECT doc_id, size, source_size, target, coalesce(sum(own) FILTER (own > 0), 0)::BIGINT AS taken,
+  min(moment) FILTER (k = 0 AND own > 0) AS position_e9,
+  coalesce(string_agg(k || ':' || own || ':' || moment, ',' ORDER BY k) FILTER (own > 0), '') AS passes
+FROM timed GROUP BY doc_id, spot, size, source, source_size, target, upto, goal
 """
 
 
 @register("op7_mixing", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passes of ``scheduled`` are summed to one row per document."""
+    """The mix by document: its words taken, and when each pass over it comes in training.
+
+    ``passes`` lists pass, words and position; positions are in billionths of the training.
+    """
     mixed = mix(load(spark, sf_dir, "documents"))
     taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda a, p: a + p["taken"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    at = lambda position: F.floor(position * 1e9).cast("bigint")
+    passes = F.transform("passes", lambda p: F.concat_ws(":", p["pass"], p["taken"], at(p["position"])))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", taken.alias("taken"),
+        at(F.col("position")).alias("position_e9"), F.array_join(passes, ",").alias("passes"),
+    )
