@@ -18,6 +18,7 @@ RANK, EXTRA = 48, 8  # dimensions of the latent space, and those more that the s
 HOP = 4  # words of a block; windows start and end with one
 PASSAGE = 48  # words of a passage that the space is learned from
 TOGETHER = 32  # passages that are multiplied at a time
+CELL = 256  # words of a cell, a multiple of HOP; where no item's words meet nothing is compared
 BLOCK = 20000  # benchmark items that a task holds at a time
 COSINE = 0.55  # least cosine of a candidate
 COMMON, LOOSE, ANSWER = 0.75, 0.5, 0.8  # shares of an item's words found in order
@@ -160,6 +161,40 @@ class Retriever:
         blocks = np.array([round(1.5 ** round(math.log(n, 1.5))) for n in lengths], dtype=np.int64)
         self.classes = [(int(n), np.flatnonzero(blocks == n)) for n in np.unique(blocks)]
         self.widest = int(blocks.max()) * HOP if len(blocks) else 0
+        # For each counter the items that have it, as often as they do, one after another.
+        owner = np.repeat(np.arange(len(kept)), [len(s) for s in self.slots])
+        counters = np.concatenate(self.slots) if kept else np.zeros(0, dtype=np.int64)
+        self.holders = owner[np.argsort(counters, kind="stable")]
+        self.first_holder = np.searchsorted(np.sort(counters), np.arange(DIMS + 1))
+        self.needed = np.array([math.ceil(LOOSE * len(s)) for s in self.slots], dtype=np.int64)
+
+    def regions(self, held: np.ndarray, span: int) -> Iterator[tuple[int, int]]:
+        """The parts of ``held`` in which a leak can begin, as ranges of at most ``span``.
+
+        Around each cell of ``CELL`` words all words that a window from the cell may see
+        are looked up in the items. A leak has at least ``LOOSE`` of an item's words in
+        order, so where no item has so many, in any order, no window is compared.
+        """
+        around = 2 * self.widest
+        cells = np.arange(0, len(held), CELL)
+        hot = np.zeros(len(cells), dtype=bool)
+        for at in range(0, len(cells), TOGETHER * 4):
+            own = cells[at : at + TOGETHER * 4]
+            low, high = np.maximum(own - around, 0), np.minimum(own + CELL + around, len(held))
+            size = high - low
+            cell = np.repeat(np.arange(len(own)), size)
+            place = np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            seen = np.unique(cell * DIMS + held[place])
+            cell, slot = seen // DIMS, seen % DIMS
+            start, count = self.first_holder[slot], self.first_holder[slot + 1] - self.first_holder[slot]
+            places = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+            item = self.holders[places]
+            found = np.bincount(np.repeat(cell, count) * len(self.ids) + item, minlength=len(own) * len(self.ids))
+            hot[at : at + len(own)] = (found.reshape(len(own), -1) >= self.needed).any(axis=1)
+        edges = np.flatnonzero(np.diff(np.r_[False, hot, False].astype(np.int8)))
+        for first, last in edges.reshape(-1, 2):
+            for at in range(int(first) * CELL, int(last) * CELL, span):
+                yield at, min(at + span, int(last) * CELL)
 
     def _possible(self, item: int, seen: np.ndarray) -> bool:
         """Whether as many of the item's words are ``seen``, in any order, as a leak must have in order."""
@@ -210,8 +245,8 @@ class Retriever:
     def search(self, texts: pa.Array, slots: pa.Array, span: int = 1 << 15) -> list[list[Hit]]:
         """The items found in each whole text.
 
-        Texts are laid end to end and cut into overlapping spans, so that memory is
-        bounded. A candidate is checked in every text that its window touches: a leak has
+        Texts are laid end to end, and the ``regions`` of them cut into overlapping spans, so
+        that memory is bounded. A candidate is checked in every text that its window touches: a leak has
         ``COMMON`` of the item's words in order, or ``LOOSE`` of them and ``ANSWER`` of its
         last third, where the answer stands.
         """
@@ -220,8 +255,8 @@ class Retriever:
         held = slots.flatten().to_numpy()
         bounds = np.cumsum(slots.value_lengths().to_numpy(zero_copy_only=False))
         words: tuple[int, list[bytes]] = (-1, [])
-        for at in range(0, len(held) if self.ids else 0, span):
-            found = self.candidates(held, at, at + span + 2 * self.widest)
+        for at, end in self.regions(held, span) if self.ids else ():
+            found = self.candidates(held, at, end + 2 * self.widest)
             for start, width, item, cosine in sorted(found):
                 low, high = at + start, at + start + width
                 for k in range(int(np.searchsorted(bounds, low, "right")), len(bounds)):

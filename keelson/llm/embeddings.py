@@ -66,6 +66,7 @@ def probes(unit: np.ndarray, tables: int = TABLES, probed: int = PROBES) -> np.n
 
 def _units(rows: list) -> np.ndarray:
     x = np.array(rows, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 

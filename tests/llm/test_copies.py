@@ -156,6 +156,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_vectors_of_any_size_link(spark):
+    """Components whose squares leave the range of doubles, on both sides."""
+    rows = [(0, [1e200, 2e200]), (1, [1e200, 2.01e200]), (2, [1e-200, 2e-200]), (3, [2e200, -1e200]), (4, [5e-324, 0.0]), (5, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     vectors = []
