@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, picked, spread_join, stored, texts_as_bytes
+from .common import components, picked, quoted, spread_join, stored, texts_as_bytes
 from .registry import load, register
 
 BITS = 64
@@ -28,16 +28,28 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()  # on bytes: A-Z and ASCII blanks only
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [digest(b" ".join(words), SEED)]
+        hashes = [digest(b" ".join(words), SEED)] if words else []
     else:
         hashes = [digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)))]
-    return simhash(np.array(hashes, dtype="<u8"))
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    return simhash(shingle_hashes(text, shingle))  # zero without words
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes as another hash function would give them; unchanged for ``k`` = 0."""
+    if k == 0:
+        return hashes
+    h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
 
 def fingerprints(text: Column, shingle: int = 3) -> Column:
@@ -71,7 +83,7 @@ def _entries(rows: DataFrame, width: int, radius: int, probing: bool) -> DataFra
     distance spent there is part of the key.
     """
     halves = F.explode(F.array(F.lit(0), F.lit(1))).alias("h")
-    rows = rows.select("fp", "key", "low", "left", F.expr("left div 2").cast("int").alias("most"), halves)
+    rows = rows.select("k", "fp", "key", "low", "left", F.expr("left div 2").cast("int").alias("most"), halves)
     own = _segment(F.col("fp"), F.col("low") + F.col("h") * width, width)
     if probing:
         balls = F.array(*(
@@ -84,6 +96,7 @@ def _entries(rows: DataFrame, width: int, radius: int, probing: bool) -> DataFra
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("d"))
     place = F.col("low") + F.col("h") * width
     return rows.select(
+        "k",
         "fp",
         F.xxhash64("key", place, own, "d").alias("key"),
         (F.col("low") + (1 - F.col("h")) * width).alias("low"),
@@ -94,7 +107,8 @@ def _entries(rows: DataFrame, width: int, radius: int, probing: bool) -> DataFra
 def near_fingerprints(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """All pairs ``a`` > ``b`` of different fingerprints that differ in at most ``radius`` bits.
 
-    ``prints`` has a bigint column ``fp``. Fingerprints are put into tables by segment
+    ``prints`` has a bigint column ``fp``, and may have an int column ``k``: fingerprints of
+    different ``k`` are not compared, and the pairs name theirs. Fingerprints are put into tables by segment
     number and segment value, two segments of 32 bits at first. Each probes the small
     Hamming balls inside its segments, and the complete distance of every match is
     checked. An entry of more than ``crowd`` members would give all pairs of a large group
@@ -104,8 +118,8 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS, crowd: int = CROW
     if not 0 <= radius < BITS // 2:
         raise ValueError(f"the radius must be below {BITS // 2}")
     zero = F.lit(0)
-    rows = prints.select("fp").where("fp is not null").distinct()
-    table = probes = stored(rows.select("fp", zero.cast("bigint").alias("key"), zero.alias("low"), F.lit(radius).alias("left")))
+    rows = prints.select((F.col("k") if "k" in prints.columns else zero).alias("k"), "fp").where("fp is not null").distinct()
+    table = probes = stored(rows.select("k", "fp", F.col("k").cast("bigint").alias("key"), zero.alias("low"), F.lit(radius).alias("left")))
     pairs, width = None, BITS // 2
     while True:
         table, probes = _entries(table, width, radius, False), _entries(probes, width, radius, True)
@@ -114,9 +128,10 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS, crowd: int = CROW
             crowded = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
             crowded = stored(crowded)
         cold = table if crowded is None else spread_join(table, crowded, ["key"], "left_anti")
-        met = probes.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key")
+        # Merged, not broadcast: both sides grow with the fingerprints, the probes most.
+        met = probes.select("k", "key", F.col("fp").alias("a")).hint("merge").join(cold.select("key", F.col("fp").alias("b")), "key")
         met = met.where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-        met = stored(met.select("a", "b").distinct())
+        met = stored(met.select("k", "a", "b").distinct())
         pairs = met if pairs is None else pairs.union(met)
         if crowded is None or crowded.isEmpty():
             return pairs.distinct()
@@ -149,6 +164,92 @@ def near_duplicates(
     )
 
 
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    radius: int = 3,
+    prints: int = 4,
+    similar: tuple[int, int] = (4, 5),
+) -> DataFrame:
+    """The rows of ``docs`` by text: ``doc_id``, ``text_key``, ``row_key``, ``component``.
+
+    Texts whose word shingles have a Jaccard similarity of at least ``similar`` belong
+    together, directly or by way of others, as far as a fingerprint finds them: one of
+    ``prints`` independent SimHashes must differ in at most ``radius`` bits. Every pair so
+    found is verified on the shingles. Texts that share all fingerprints are one class,
+    and classes that share one are compared with the smallest of them, so that a large
+    group gives no pairs of its own.
+
+    ``text_key`` is the XXH64 of the text, ``row_key`` that of the row's other columns; rows
+    equal in all three are one row here. Texts without words, null ones too, are one class.
+    An empty table gives no rows.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def of(column: pa.Array) -> pa.Array:
+        hashes = (shingle_hashes(t, shingle) for t in texts_as_bytes(column))
+        return pa.array([[simhash(mixed(h, k)) for k in range(prints)] for h in hashes], pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(column: pa.Array) -> pa.Array:
+        sets = (np.unique(shingle_hashes(t, shingle)).view("<i8") for t in texts_as_bytes(column))
+        return pa.array(list(sets), pa.list_(pa.int64()))
+
+    text = quoted(text_col)
+    others = [quoted(c) for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(
+        quoted(id_col).alias("doc_id"),
+        F.xxhash64(text).alias("text_key"),
+        (F.xxhash64(*others) if others else F.lit(0).cast("bigint")).alias("row_key"),
+        of(text).alias("fps"),
+    )
+    rows = stored(rows.withColumn("class", F.xxhash64("fps")).distinct())
+    classes = rows.groupBy("class").agg(F.first("fps").alias("fps"), F.min("text_key").alias("text_key"))
+    classes = stored(classes)
+    split = classes.select("class", F.posexplode("fps").alias("k", "fp"))
+    heads = stored(split.groupBy("k", "fp").agg(F.min("class").alias("head"), F.count("*").alias("n")))
+    same = split.join(heads.where("n > 1"), ["k", "fp"]).select(F.col("class").alias("x"), F.col("head").alias("y"))
+    near = near_fingerprints(heads, radius)
+    near = near.join(heads.select("k", F.col("fp").alias("a"), F.col("head").alias("x")), ["k", "a"])
+    near = near.join(heads.select("k", F.col("fp").alias("b"), F.col("head").alias("y")), ["k", "b"])
+    pairs = same.union(near.select("x", "y")).where("x <> y")
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+
+    # The shingles of one text of each class that has a partner.
+    chosen = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "class")
+    asked = classes.join(chosen, "class", "left_semi").select("class", "text_key")
+    texts = spread_join(docs.select(F.xxhash64(text).alias("text_key"), text.alias("t")), asked, ["text_key"], "inner")
+    sets = texts.groupBy("class").agg(F.min("t").alias("t")).select("class", shingles(F.col("t")).alias("set"))
+    sets = stored(sets)
+    judged = pairs.join(sets.select(F.col("class").alias("x"), F.col("set").alias("a")), "x")
+    judged = judged.join(sets.select(F.col("class").alias("y"), F.col("set").alias("b")), "y")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both * similar[1] >= (F.size("a") + F.size("b") - both) * similar[0]
+    groups = components(judged.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = stored(groups.withColumnsRenamed({"node": "class", "component": "root"}))
+    found = spread_join(rows, groups, ["class"], "left")
+    return found.select("doc_id", "text_key", "row_key", F.coalesce("root", "class").alias("component"))
+
+
+def first_of_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each group of ``near_copies`` one row of ``docs``, with all its columns.
+
+    It is the one with the smallest id, nulls last, then the smallest hash of its text and
+    of its other columns; of equal rows one stays.
+    """
+    found = near_copies(docs, id_col, text_col, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "row_key")
+    kept = stored(found.groupBy("component").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_key", "p.row_key"))
+    others = [quoted(c) for c in docs.columns if c not in (id_col, text_col)]
+    row_key = F.xxhash64(*others) if others else F.lit(0).cast("bigint")
+    all_keys = F.struct(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_key"), row_key.alias("row_key"))
+    marked = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), all_keys.alias("keys"))
+    stays = marked.join(kept.select(F.struct("doc_id", "text_key", "row_key").alias("keys")), "keys", "left_semi")
+    return stays.dropDuplicates(["keys"]).select("row.*")
+
+
 @register("op10_simhash_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))

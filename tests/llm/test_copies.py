@@ -149,6 +149,44 @@ def test_an_entry_of_many_members_is_split(spark):
     assert {(r.a, r.b) for r in links} == expected
 
 
+def _shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} or ({" ".join(words)} if words else set())
+
+
+def test_near_copies_are_similar_and_found(spark):
+    """Copies with one to eight words changed: none below the similarity is joined, close ones are found."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(600)]
+    rows, pairs = [], []
+    for i in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(200, 500))]
+        copy = list(base)
+        for _ in range(1 + i % 8):
+            copy[rng.randrange(len(copy))] = "other"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = _shingles(rows[-2][1]), _shingles(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    joined = [found[2 * i] == found[2 * i + 1] for i in range(150)]
+    assert len(set(found.values())) == 300 - sum(joined)  # no other texts are joined
+    assert all(s >= 0.8 for s, j in zip(pairs, joined) if j)
+    close = [j for s, j in zip(pairs, joined) if s >= 0.95]
+    assert sum(close) >= 0.85 * len(close) > 15
+
+
+def test_one_row_of_each_group_stays(docs, corpus, no_docs):
+    """Odd rows: copies, nulls, blanks, repeated rows and ids; the kept rows are whole and the same each time."""
+    kept = [tuple(r) for r in simhash.first_of_copies(docs).collect()]
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in simhash.first_of_copies(docs.repartition(5)).collect())
+    texts = [" ".join((r[1] or "").lower().split()) for r in kept]
+    assert len(texts) == len(set(texts))  # equal texts, and those without words, once
+    assert {" ".join((r[1] or "").lower().split()) for r in corpus} >= set(texts)
+    assert 71 in {r[0] for r in kept} and 70 not in {r[0] for r in kept} and 7 in {r[0] for r in kept} and 8 in {r[0] for r in kept}
+    assert {(r[0], r[1]) for r in kept} <= {(r[0], r[1]) for r in corpus}
+    assert simhash.first_of_copies(no_docs).count() == 0 and simhash.first_of_copies(docs).columns == docs.columns
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
