@@ -438,6 +438,60 @@ def test_recall_of_planted_leaks_by_share_kept(spark):
         assert sum(own) >= 0.9 * len(own), (share, sum(own), len(own))
 
 
+def test_ranking_against_plain_gradient_descent():
+    """The same pairs, loss and threshold, worked out with loops."""
+    rng = np.random.default_rng(4)
+    n, width = 40, quality.FEATURES
+    x = rng.normal(size=(n, width)) * np.linspace(0.5, 3, width)
+    labels = (x[:, 0] + x[:, 3] + rng.normal(size=n) > 0).astype(int)
+    got = quality.fit_pairs(x, labels)
+    mean, spread = [c.mean() for c in x.T], [c.std() + 1e-6 for c in x.T]
+    z = [[(v - m) / s for v, m, s in zip(row, mean, spread)] for row in x]
+    good, bad = ([i for i in range(n) if labels[i] == k] for k in (1, 0))
+    most = max(len(good), len(bad))
+    pairs = [(good[i % len(good)], bad[(i + i // most * 7) % len(bad)]) for i in range(8 * most)]
+
+    def loss(w):
+        margins = (sum(wi * (a - b) for wi, a, b in zip(w, z[g], z[b_])) for g, b_ in pairs)
+        return sum(math.log1p(math.exp(-m)) for m in margins) / len(pairs) + 0.01 / 2 * sum(v * v for v in w)
+
+    least = loss(got.weights)
+    for j in range(width):  # the loss is convex: no step along any axis, or at random, lowers it
+        for step in (-0.01, 0.01):
+            moved = got.weights.copy()
+            moved[j] += step
+            assert loss(moved) > least
+    assert all(loss(got.weights + 0.05 * rng.normal(size=width)) > least for _ in range(10))
+    raw = sorted(sum(wi * v for wi, v in zip(got.weights, row)) for row in z)
+    assert got.cut == pytest.approx((raw[len(bad) - 1] + raw[len(bad)]) / 2)
+    scores = got.score(x)
+    assert [(s >= 0.7) for s in scores] == [r >= got.cut for r in got.raw(x)]
+
+
+def test_features_against_plain_counts():
+    rng = random.Random(17)
+    for _ in range(30):
+        text = "".join(rng.choice("aB1 .!|#\né\t,") for _ in range(rng.randint(0, 120)))
+        data, words = text.encode(), text.encode().split()
+        got = quality.features(data)
+        if not words:
+            assert got == [0.0] * quality.FEATURES
+            continue
+        n, lengths = len(words), [len(w) for w in words]
+        mean = sum(lengths) / n
+        lines = [x for x in data.split(b"\n") if x.strip()]
+        expected = [
+            math.log1p(n) / 10, mean / 10, math.sqrt(sum((v - mean) ** 2 for v in lengths) / n) / 10,
+            math.sqrt(sum(words[i] == words[i + 1] for i in range(n - 1)) / max(1, n - 1)), len(set(words)) / n,
+            len(set(words)) / math.sqrt(n) / 10, max(words.count(w) for w in words) / n,
+            len({(words[i], words[i + 1]) for i in range(n - 1)}) / max(1, n - 1) if n > 1 else 1.0,
+            len(set(lines)) / len(lines), math.log1p(len(lines)) / 10, math.log1p(n / len(lines)) / 10,
+            sum(w[-1:] in b".,;:?" for w in words) / n,
+        ]
+        assert got[-12:] == pytest.approx(expected)
+        assert sum(v * v for v in got[:-12]) == pytest.approx(1.0)  # shares of all bytes
+
+
 def test_empty_tables(spark, no_docs, labelled):
     assert secrets.find_secrets(no_docs).count() == 0
     assert mixing.mix(no_docs).count() == 0
