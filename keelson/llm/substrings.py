@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +105,20 @@ class _Hashes(dict):
         return value
 
 
-def runs(words: list[bytes], hashes: dict, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of a document as runs: anchor hash, first window and number of windows.
+def runs(texts: list[list[bytes]], hashes: dict, width: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """The windows of documents as runs: document, anchor hash, first window and number of windows.
 
     A window owns the anchor in it with the least hash, the first among equals, so
     the choice depends on the words of the window only. Neighbouring windows that own the
-    same anchor form a run.
+    same anchor form a run. The documents are laid end to end and worked on together;
+    windows over an end are left out.
     """
-    n = len(words)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    n = int(lengths.sum())
+    if n < width:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=n)
     mixed = np.zeros(n - anchor + 1, dtype=np.uint64)
     for j in range(anchor):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[j : n - anchor + 1 + j]
@@ -120,15 +126,35 @@ def runs(words: list[bytes], hashes: dict, width: int, anchor: int) -> tuple[np.
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     place = np.arange(len(mixed), dtype=np.uint64)
-    low = (mixed & ~np.uint64(0xFFFFFFFF)) | place  # a text has fewer than 2^32 words
+    low = (mixed & ~np.uint64(0xFFFFFFFF)) | place  # the texts have fewer than 2^32 words
     span, have = width - anchor + 1, 1
     while have < span:
         step = min(have, span - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
     owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    return mixed[owner[start]].view(np.int64), start, np.diff(np.r_[start, len(owner)])
+    begin = np.cumsum(lengths) - lengths
+    document = np.repeat(np.arange(len(texts)), lengths)[: len(owner)]
+    at = np.arange(len(owner)) - begin[document]
+    inside = np.flatnonzero(at + width <= lengths[document])
+    owner, document, at = owner[inside], document[inside], at[inside]
+    if not len(owner):
+        return document, owner, at, owner
+    start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (document[1:] != document[:-1])])
+    return document[start], mixed[owner[start]].view(np.int64), at[start], np.diff(np.r_[start, len(owner)])
+
+
+def _together(batch: pa.RecordBatch, size: int = 1 << 16) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of a batch's texts, some texts at a time: the place of the first, and the texts."""
+    first, held, words = 0, [], 0
+    for k, text in enumerate(texts_as_bytes(batch.column("text"))):
+        held.append(text.split())
+        words += len(held[-1])
+        if words > size:
+            yield first, held
+            first, held, words = k + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -142,22 +168,13 @@ def _anchors(width: int, anchor: int):
         hashes = _Hashes()
         for batch in stream:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
-            parts: list[tuple] = []
-            size = 0
-            for k, text in enumerate(texts_as_bytes(batch.column("text"))):
-                words = text.split()
-                if len(words) >= width:
-                    parts.append((k, np.unique(runs(words, hashes, width, anchor)[0])))
-                    size += len(parts[-1][1])
-                if size > 1 << 16:
-                    yield _joined(parts, ids, keys)
-                    parts, size = [], 0
-            if parts:
-                yield _joined(parts, ids, keys)
-
-    def _joined(parts: list[tuple], ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-        return _rows(anchor=pa.array(np.concatenate([p[1] for p in parts])), doc_id=pa.array(ids[at]), text_key=pa.array(keys[at]))
+            for first, texts in _together(batch):
+                document, owned, _, _ = runs(texts, hashes, width, anchor)
+                order = np.lexsort((owned, document))
+                document, owned = document[order], owned[order]
+                new = np.r_[True, (document[1:] != document[:-1]) | (owned[1:] != owned[:-1])][: len(order)]
+                at = first + document[new]
+                yield _rows(anchor=pa.array(owned[new]), doc_id=pa.array(ids[at]), text_key=pa.array(keys[at]))
 
     return run
 
@@ -168,29 +185,31 @@ def _cut(width: int, anchor: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in stream:
-            ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             lists = batch.column("anchors")
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k, text in enumerate(texts_as_bytes(batch.column("text"))):
-                words = text.split()
-                owned, starts, counts = runs(words, hashes, width, anchor)
-                kept = np.isin(owned, lists[k].values.to_numpy())
-                for own, start, n in zip(owned[kept].tolist(), starts[kept].tolist(), counts[kept].tolist()):
-                    for column, value in zip(out, (own, b" ".join(words[start : start + n + width - 1]), ids[k], keys[k], start)):
-                        column.append(value)
-                if len(out[0]) > 1 << 15:
-                    yield _pieces(out)
-                    out = ([], [], [], [], [])
-            if out[0]:
-                yield _pieces(out)
-
-    def _pieces(out: tuple[list, ...]) -> pa.RecordBatch:
-        text = pa.array(out[1], pa.binary()).cast(pa.string())
-        return _rows(anchor=pa.array(out[0], pa.int64()), piece=text, doc_id=pa.array(out[2], pa.int64()), text_key=pa.array(out[3], pa.int64()), start=pa.array(out[4], pa.int32()))
+            for first, texts in _together(batch):
+                document, owned, starts, counts = runs(texts, hashes, width, anchor)
+                shared = lists.slice(first, len(texts))
+                holder = np.repeat(np.arange(len(texts)), shared.value_lengths().to_numpy(zero_copy_only=False))
+                # A run is kept if its document has its anchor in the list. Two pairs of one
+                # number would only let a piece more through, which changes no result.
+                kept = np.flatnonzero(np.isin(_pair(document, owned), _pair(holder, shared.flatten().to_numpy())))
+                document, starts, counts = document[kept], starts[kept], counts[kept]
+                ends = starts + counts + width - 1
+                pieces = [b" ".join(texts[d][i:j]) for d, i, j in zip(document.tolist(), starts.tolist(), ends.tolist())]
+                yield _rows(
+                    anchor=pa.array(owned[kept]), piece=pa.array(pieces, pa.binary()).cast(pa.string()),
+                    doc_id=pa.array(ids[first + document]), text_key=pa.array(keys[first + document]),
+                    start=pa.array(starts.astype(np.int32)),
+                )
 
     return run
 
 
+def _pair(document: np.ndarray, owned: np.ndarray) -> np.ndarray:
+    return owned ^ (document * np.int64(0x2545F4914F6CDD1D))
+
+
 def _shards(width: int):
     """One automaton for the pieces of each anchor; rows come sorted by anchor."""
 
@@ -202,10 +221,15 @@ def _shards(width: int):
             if held[0]:
                 out[0].extend([now] * len(held[0]))
                 out[1].extend(held[2])
-                out[2].extend(earliest(held[0], held[1], width))
+                if len(held[0]) == 1:  # the automaton of one piece is a path
+                    out[2].append([held[1][0]] * (held[0][0].count(b" ") + 2 - width))
+                else:
+                    out[2].extend(earliest([piece.split() for piece in held[0]], held[1], width))
 
         def made() -> pa.RecordBatch:
-            return _rows(anchor=pa.array(out[0], pa.int64()), piece_key=pa.array(out[1], pa.int64()), firsts=pa.array(out[2], pa.list_(pa.int64())))
+            ends = np.cumsum([0, *map(len, out[2])]).astype(np.int32)
+            firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(out[2])), pa.int64()))
+            return _rows(anchor=pa.array(out[0], pa.int64()), piece_key=pa.array(out[1], pa.int64()), firsts=firsts)
 
         for batch in stream:
             pieces = texts_as_bytes(batch.column("piece"))
@@ -216,7 +240,7 @@ def _shards(width: int):
                     if len(out[0]) > 1 << 14:
                         yield made()
                         out = ([], [], [])
-                held[0].append(piece.split())
+                held[0].append(piece)
                 held[1].append(first)
                 held[2].append(key)
         solve()
