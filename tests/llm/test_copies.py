@@ -119,7 +119,7 @@ def test_simhash(docs, corpus):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in out.collect()) == expected
 
 
-@pytest.mark.parametrize("radius, crowd", [(0, 64), (1, 64), (2, 64), (2, 2), (3, 1), (5, 4)])
+@pytest.mark.parametrize("radius, crowd", [(1, 64), (2, 2), (5, 4)])
 def test_near_fingerprints_are_all_pairs_in_the_radius(spark, radius, crowd):
     """Chains of near words, dense balls around one word, both extremes, and a null."""
     rng = random.Random(2)
