@@ -472,16 +472,16 @@ def named_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "declared_rows",
-    """SELECT s_suppkey, s_name, s_nationkey, s_acctbal, n.n_name AS nation FROM supplier s
-    JOIN (VALUES (0, 'first'), (1, 'second'), (7, CAST(NULL AS VARCHAR))) n(k, n_name) ON s.s_nationkey = n.k""",
+    """SELECT n_nationkey, n_name, n_regionkey, r.label FROM nation
+    JOIN (VALUES (0, 'first'), (1, 'second'), (3, CAST(NULL AS VARCHAR))) r(k, label) ON n_regionkey = r.k""",
 )
 def declared_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a declared schema, put into a table and joined."""
     name = _fresh("declared")
-    tables.create_table(spark, name, "nation_key int, nation string", scratch_path(spark))
-    tables.append(spark.createDataFrame([(0, "first"), (1, "second"), (7, None)], "nation_key int, nation string"), name)
-    supplier = load(spark, sf_dir, "supplier")
-    return supplier.join(spark.table(name), F.col("s_nationkey") == F.col("nation_key")).drop("nation_key")
+    tables.create_table(spark, name, "region_key int, label string", scratch_path(spark))
+    tables.append(spark.createDataFrame([(0, "first"), (1, "second"), (3, None)], "region_key int, label string"), name)
+    nation = load(spark, sf_dir, "nation")
+    return nation.join(spark.table(name), F.col("n_regionkey") == F.col("region_key")).drop("region_key")
 
 
 @register("first_rows", "SELECT count(*) AS n, 5 AS shown FROM (SELECT * FROM part LIMIT 5)")
