@@ -11,13 +11,14 @@ EMPTY_TEXTS = ("", "{}", "[]", "false", "0", "0.0")
 def whole(text: Column) -> Column:
     """The text if all of it is one JSON value, else null.
 
-    The parser ignores what follows a value. So the text must also be one value inside
-    brackets, which refuses other text and closing braces, and one member inside braces,
-    which refuses closing brackets. Single quotes are refused too.
+    The parser ignores what follows a value. So the text must be read both inside brackets,
+    which refuses other text and closing braces, and as the one member inside braces, which
+    refuses closing brackets and further values. Single quotes are refused too, by the
+    first of the two.
     """
-    in_brackets = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    in_brackets = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
     in_braces = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
-    return F.when(F.try_parse_json(text).isNotNull() & in_brackets & in_braces, text)
+    return F.when(in_brackets & in_braces, text)
 
 
 def is_object(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.expressions import first_filled, iso_utc
 from ..functions.json import as_map, is_filled, is_object, whole
 from .columns import compute_once, instant
+from .joins import quoted
 
 # Texts and addresses that the events must carry as they are.
 MESSAGE_NOT_PROCESSED = "Event type %s acknowledged but not processed"
@@ -56,16 +57,20 @@ def unwrap_events(events: DataFrame, raw: str = "raw") -> DataFrame:
 
     Null where a text is not one whole JSON value.
     """
-    text = F.col(raw)
-    body = F.get_json_object(text, "$.body")
+    names = events.columns
+    # One step each, so that no text is read again for the next.
+    read = compute_once(events, {"__text": whole(F.col(raw))})
+    text = F.col("__text")
     # A key called body shows in the text, unless it is written with escapes.
     may_have_body = text.contains("body") | text.contains("\\u")
-    payload = (
-        F.when(may_have_body & F.array_contains(F.json_object_keys(text), "body"), whole(F.coalesce(body, F.lit("null"))))
-        .when(F.ltrim(text).startswith('"'), whole(F.get_json_object(text, "$")))
-        .otherwise(text)
-    )
-    return compute_once(events, {"payload": F.when(whole(text).isNotNull(), payload)})
+    inner = F.when(
+        may_have_body & F.array_contains(F.json_object_keys(text), "body"),
+        F.coalesce(F.get_json_object(text, "$.body"), F.lit("null")),
+    ).when(F.ltrim(text).startswith('"'), F.coalesce(F.get_json_object(text, "$"), F.lit("")))
+    read = compute_once(read, {"__inner": inner})
+    inner = F.col("__inner")
+    read = compute_once(read, {"payload": F.when(inner.isNotNull(), whole(inner)).otherwise(text)})
+    return read.select(*map(quoted, names), "payload")
 
 
 def classify_events(unwrapped: DataFrame) -> DataFrame:
@@ -228,7 +233,8 @@ def route_events(unwrapped: DataFrame, config: LineageConfig) -> DataFrame:
     fields = F.when(ol, extract_schema_fields(out_facets)).otherwise(
         F.try_element_at("__seen.metadata", F.lit("schema"))
     )
-    routed = compute_once(read, {"outcome": outcome, "__found": found, "__fields": fields})
+    # The fields stay a plain column: Spark drops it where it is not asked for.
+    routed = compute_once(read, {"outcome": outcome, "__found": found}).withColumn("__fields", fields)
     posted, is_known = F.col("outcome") == "posted", ~F.col("outcome").isin("failed", "rejected")
     message = (
         F.when(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions.expressions import derived_run_id, iso_utc
+from keelson.functions.json import whole
 from keelson.operators.lineage import (
     LineageConfig,
     accepted_runs,
@@ -18,6 +19,7 @@ from keelson.operators.lineage import (
     route_events,
     unwrap_events,
 )
+from keelson.plans.lineage import raw_events
 
 CONFIG = LineageConfig("eu", "100", "cat", "db", "base", "proj", data_source_type="ICEBERG")
 
@@ -341,3 +343,23 @@ def test_a_filter_does_not_parse_again(spark):
     runs = accepted_runs(routed(spark, event()))
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(StructField(eventType") == 1
+
+
+def test_a_text_is_whole_if_it_is_one_json_value(spark):
+    good = ["1", "-0.5e3", "true", "null", '"a"', "[]", "{}", ' {"a": [1, {"b": "}]"}]} ', '[1,"b"]']
+    bad = ["", " ", "1 2", "1,2", '1,"b"', '1,"b":2', "1]", "1}", "1] x", "1} x", '{"a":1} and more', '{{"a":1}', "{'a':1}", "[1", "x", '"a" "b"', "1,", ",1"]
+    texts = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad] + [(None, False)], "t string, good boolean")
+    wrong = texts.where(whole(F.col("t")).isNotNull() != F.col("good")).collect()
+    assert wrong == []
+
+
+def test_events_are_dealt_out_and_their_texts_read_once(spark, tmp_path):
+    """Before, a small file was one task's work, and a body was taken out of its event up to five times."""
+    rows = spark.range(400000).selectExpr(
+        "id as event_id", "id as user_id", "'click' as event_type", """concat('{"k":', id % 100, ', "x":"', sha2(string(id), 256), '"}') as props"""
+    )
+    rows.coalesce(1).write.option("compression", "zstd").parquet(f"{tmp_path}/events.parquet")
+    assert raw_events(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    unwrapped = unwrap_events(spark.createDataFrame([(1, "{}")], "event_id long, raw string"))
+    plan = unwrapped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("$.body") == 1
