@@ -1,7 +1,7 @@
 """CSV and JSON files whose form is found from the first lines of each file.
 
 Only the heads of files come to the driver: a bounded number of lines of each, read
-by jobs that stop there. The files themselves are then read by Spark's own readers,
+by jobs that stop there; of JSON files one job tells the form of each. The files themselves are then read by Spark's own readers,
 all files of one form together, and the results are put into one schema.
 """
 
@@ -174,20 +174,25 @@ def read_csv_detected(
 def json_forms(spark: SparkSession, paths: Sequence[str]) -> dict[bool, list[str]]:
     """Files with an object on every line (False), and files that are one value (True).
 
-    A file is of the first kind if its first line that is not blank is a whole object.
+    A file is of the first kind if its first line that is not blank is a whole object. One
+    job settles it for all files, however many: each split tells the number of its first
+    such line and of its first whole object, and the first split with such a line decides.
     """
-
-    def is_one_value(path: str) -> bool:
-        line = spark.read.text(path).where("trim(value) <> ''").select(
-            F.substring(F.ltrim("value"), 1, 1).alias("c"), F.try_parse_json("value").isNotNull().alias("whole")
-        )
-        first = line.limit(1).collect()
-        return bool(first) and not (first[0].c == "{" and first[0].whole)
-
+    numbered = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("n"),
+        "value",
+    )
+    is_object = (F.substring(F.ltrim("value"), 1, 1) == "{") & F.try_parse_json("value").isNotNull()
+    splits = numbered.groupBy("path", "start").agg(
+        F.min(F.when(F.trim("value") != "", F.col("n"))).alias("line"), F.min(F.when(is_object, F.col("n"))).alias("object")
+    )
+    decided = F.min_by(F.coalesce(F.col("line") == F.col("object"), F.lit(False)), "start")
+    lined = {r.path: r.lined for r in splits.where("line is not null").groupBy("path").agg(decided.alias("lined")).collect()}
     forms: dict[bool, list[str]] = {}
-    with ThreadPoolExecutor(_READERS) as pool:
-        for path, whole in zip(paths, pool.map(is_one_value, paths)):
-            forms.setdefault(whole, []).append(path)
+    for path in paths:
+        forms.setdefault(not lined.get(path, True), []).append(path)
     return forms
 
 

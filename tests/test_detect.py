@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from keelson.functions.schemas import SchemaClash, as_schema, union_frames, union_schemas, widened
 from keelson.sources import tables
-from keelson.sources.detect import list_files, read_csv_detected, read_json_detected, read_parquet_union, sniff_csv
+from keelson.sources.detect import json_forms, list_files, read_csv_detected, read_json_detected, read_parquet_union, sniff_csv
 from keelson.sources.files import read_table_files
 
 CSV = {
@@ -176,3 +176,27 @@ def test_a_load_that_clashes_changes_nothing(spark, table):
     with pytest.raises(ValueError):
         tables.load_table(spark.createDataFrame([(2, "b", 1)], "id int, v string, more int"), name)
     assert spark.table(name).count() == 1 and spark.table(name).columns == ["id", "v"]
+
+
+def test_one_job_tells_the_form_of_every_json_file(spark, folder):
+    """Before, a job a file: their number grew with the table."""
+    files = {
+        "a b%20c__json": '\n  \n{"v": 1}\n{"v": 2}\n', "cut__json": '{"v":\n 1}\n{"v": 2}\n', "array__json": ' \n[{"v": 1},\n{"v": 2}\n]',
+        "blank__json": " \n\n", "spaced__json": '  {"v": 1}\n[\n', "late__json": "text\n" + '{"v": 1}\n' * 50,
+    }
+    at = folder(**files)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # files of several splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.sparkContext.setJobGroup("forms", "forms")
+    try:
+        paths = list_files(spark, at, "*.json")
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("forms"))
+        forms = json_forms(spark, paths)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("forms")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {whole: sorted(path.rsplit("/", 1)[1] for path in group) for whole, group in forms.items()}
+    assert found == {False: ["a b%20c.json", "blank.json", "spaced.json"], True: ["array.json", "cut.json", "late.json"]}
+    assert 0 < jobs < len(paths)
