@@ -43,9 +43,9 @@ def word_slots(text: Column) -> Column:
 def rarity(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each counter, over all documents."""
     slots = F.explode_outer(F.array_distinct(word_slots(F.col("text")))).alias("slot")  # outer: no second computation for a filter
-    counted = docs.select(slots).where("slot is not null").groupBy("slot").agg(F.count("*").alias("n")).toPandas()
+    counted = docs.select(slots).where("slot is not null").groupBy("slot").agg(F.count("*").alias("n")).toArrow()
     held = np.zeros(DIMS)
-    held[counted["slot"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
+    held[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     return np.log((1 + docs.count()) / (1 + held)).clip(0.05)
 
 
@@ -106,14 +106,19 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarr
         basis = np.linalg.qr(basis)[0].astype(np.float32)
         product = texts.mapInArrow(_sketch(shared_value(spark, basis), idf), "slot bigint, v array<float>")
         summed = product.groupBy("slot").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width))).toArrow()
-        image = np.zeros((DIMS, width))
-        image[summed["slot"].to_numpy()] = np.stack([summed[f"v{i}"].to_numpy() for i in range(width)], axis=1)
+        # The driver holds the sums, the image and the basis, and no further copy.
+        image, slot = np.zeros((DIMS, width)), summed["slot"].to_numpy()
+        for i in range(width):
+            image[slot, i] = summed[f"v{i}"].to_numpy()
+        del summed, slot
         if last:
             values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
             top = np.argsort(-values)[:RANK]
             basis = basis @ turn[:, top] / np.sqrt(np.maximum(values[top], 1e-9))
         else:
-            basis = image + 1e-12 * basis
+            image += 1e-12 * basis
+            basis = image
+            del image
     return (basis * idf[:, None]).astype(np.float32)
 
 

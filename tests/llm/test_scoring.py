@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -396,6 +397,19 @@ def test_space_is_learned_from_every_row(spark):
     assert len(slots) > 15000 and np.linalg.norm(space[sorted(slots)], axis=1).min() > 1e-9
 
 
+def test_the_driver_holds_few_copies_of_the_space(spark):
+    """One block is 15 MB; before, the driver held five at a time."""
+    docs = spark.createDataFrame([(k, f"d{k} e{k % 9} f{k % 40}") for k in range(300)], "doc_id bigint, text string")
+    idf = decontamination.rarity(docs)
+    tracemalloc.start()
+    try:
+        decontamination.latent_space(docs, docs.select("text"), idf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_no_leak_of_the_rule_is_filtered():
     """Short leaks with half of an item's words and all of its last third, under cosines that let all pass."""
     rng = random.Random(14)
