@@ -410,6 +410,51 @@ def test_the_driver_holds_few_copies_of_the_space(spark):
     assert peak < 60e6
 
 
+def test_counters_of_words_inside_tasks(spark):
+    texts = ["", " \n", "a", "Ab, (cd)[ef]! x", "ÜBER Ñandú Ωmega \u00a0 x\u2003y", "z" * 31 + " " + "Q" * 32 + "\t" + "é" * 200, "x" * 8 + " " + "y" * 15 + "\x0b\x0c1"]
+    texts += [" ".join("w" * k for k in range(1, 40)), "last"]
+    plain = [r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").select(decontamination.word_slots(F.col("text")).alias("s")).collect()]
+    slots, lengths = decontamination.text_slots([t.encode() for t in texts])
+    assert [s.tolist() for s in np.split(slots, np.cumsum(lengths)[:-1])] == plain
+
+
+def test_sketch_against_a_dense_product():
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(0.05, 9, decontamination.DIMS)
+    basis = rng.normal(size=(decontamination.DIMS, 5)).astype(np.float32)
+    frequent = np.argsort(idf)[:40]
+    texts = [np.where(rng.random(n) < 0.5, rng.choice(frequent, n), rng.integers(0, 900, n)).astype(np.uint16) for n in (0, 1, 47, 48, 49, 500, 96, 3000)]
+    passages = [t[k : k + decontamination.PASSAGE] for t in texts for k in range(0, len(t), decontamination.PASSAGE)]
+    dense = np.array([np.bincount(p, minlength=decontamination.DIMS) * idf for p in passages])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["slots"])
+    got = np.zeros(basis.shape)
+    for part in decontamination._sketch(lambda: basis, idf)([batch]):
+        got[part["slot"].to_numpy()] = np.array(part["v"].to_pylist())
+    assert np.abs(got - dense.T @ (dense @ basis)).max() < 1e-4
+
+
+def test_words_of_long_items_in_regions():
+    """As many of the item's words, in any order, as a plain count finds; items of more than 64 words too."""
+    rng = random.Random(21)
+    items = [[rng.randrange(n) for _ in range(n)] for n in (1, 15, 64, 65, 130)]
+    texts = [" ".join(f"w{w}" for w in item).encode() for item in items]
+    held = decontamination.Retriever(list(range(len(items))), texts, items, np.ones((decontamination.DIMS, 1), dtype=np.float32))
+    table = np.zeros(decontamination.DIMS + 1, dtype=np.uint64)
+    for k, item in enumerate(items):
+        regions = [[w if rng.random() < share else 5000 for w in item] for share in (0, 0.3, 0.5, 0.6, 0.7, 0.8, 1) for _ in range(9)]
+        tail = item[-max(4, len(item) // 3) :]
+        share = lambda words, region: sum(w in region for w in words) / len(words)
+        expected = [share(item, r) >= 0.75 or (share(item, r) >= 0.5 and share(tail, r) >= 0.8) for r in regions]
+        assert held._possible(k, np.array(regions), table).tolist() == expected and not table.any()
+
+
+def test_sums_of_the_space_do_not_grow_with_the_files(spark):
+    docs = spark.createDataFrame([(k, f"d{k} e{k % 9} f{k % 40}") for k in range(400)], "doc_id bigint, text string").repartition(100)
+    slots = decontamination._few(decontamination.worded(docs))
+    assert slots.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and slots.count() == 400
+
+
 def test_no_leak_of_the_rule_is_filtered():
     """Short leaks with half of an item's words and all of its last third, under cosines that let all pass."""
     rng = random.Random(14)
