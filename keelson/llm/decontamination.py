@@ -155,7 +155,7 @@ def _summed(rows: np.ndarray, at: np.ndarray, key: np.ndarray, total: np.ndarray
         sums = np.zeros((len(padded) + 1, rows.shape[1]), dtype=np.float32)
         for start in range(0, len(padded), 1024):
             part = padded[start : start + 1024]
-            sums[start : start + len(part)] = np.matmul(ones, rows[part])[:, 0]
+            sums[start : start + len(part)] = np.matmul(ones, rows.take(part, axis=0))[:, 0]
         rows, at, key = sums, np.arange(len(padded)), np.repeat(own, groups)
 
 
@@ -196,7 +196,7 @@ def _sketch(get, idf: np.ndarray):
             np.matmul(held, dense, out=image[:-1])
             for start in range(0, len(passages), 256):
                 part = passages[start : start + 256, : few[start : start + 256].max()]
-                image[start : start + len(part)] += np.matmul(np.ones((1, part.shape[1]), dtype=np.float32), weighted[part])[:, 0]
+                image[start : start + len(part)] += np.matmul(np.ones((1, part.shape[1]), dtype=np.float32), weighted.take(part, axis=0))[:, 0]
             image[:-1] *= scale[:, None]
             total[rare:] += held.T @ image[:-1]
             own = np.flatnonzero(flat < rare)
@@ -351,7 +351,7 @@ class Retriever:
         padded, ones = padded.reshape(-1, HOP), np.ones((1, HOP), dtype=np.float32)
         sums = [np.empty((len(padded), self.space.shape[1]), dtype=np.float32)]
         for start in range(0, len(padded), 2048):
-            sums[0][start : start + 2048] = np.matmul(ones, self.space[padded[start : start + 2048]])[:, 0]
+            sums[0][start : start + 2048] = np.matmul(ones, self.space.take(padded[start : start + 2048], axis=0))[:, 0]
         while 2 << (len(sums) - 1) <= longest:
             half = 1 << (len(sums) - 1)
             sums.append(sums[-1][:-half] + sums[-1][half:])
@@ -361,30 +361,43 @@ class Retriever:
         low, high = max(0, at - margin), min(len(held), at + count * HOP + 2 * margin)
         around[low - at + margin : high - at + margin] = held[low:high]
         for width, items in self.classes:
-            start = np.arange(0, max(1, count - width + 1), max(1, width // 4))
+            step = max(1, width // 4)
+            start = np.arange(0, max(1, count - width + 1), step)
+            regular = len(start)
             if start[-1] < count - width:
                 start = np.append(start, count - width)
-            window, done = np.zeros((len(start), self.space.shape[1]), dtype=np.float32), 0
-            for k in range(width.bit_length()):
-                if width >> k & 1:
-                    window += sums[k][start + done]
-                    done += 1 << k
-            least = self.cosine * np.sqrt(np.einsum("ij,ij->i", window, window))
-            floor = np.maximum(least, 1e-9)
+            unit, least, near = self.unit[items], np.empty(len(start), dtype=np.float32), []
+            for low in range(0, len(start), 2048):  # as many windows as the cache holds
+                here = start[low : low + 2048]
+                evenly = len(here) - (low + len(here) > regular)
+                window, done = np.zeros((len(here), self.space.shape[1]), dtype=np.float32), 0
+                for k in range(width.bit_length()):
+                    if width >> k & 1:
+                        first = int(here[0]) + done
+                        window[:evenly] += sums[k][first : first + evenly * step : step][:evenly]
+                        window[evenly:] += sums[k][here[evenly:] + done]
+                        done += 1 << k
+                own = self.cosine * np.sqrt(np.einsum("ij,ij->i", window, window))
+                floor = np.maximum(own, 1e-9)
+                least[low : low + len(here)] = own
+                for block in range(0, len(items), 256):
+                    dots = (unit[block : block + 256] @ window.T).reshape(-1)
+                    found = np.flatnonzero((dots.reshape(-1, len(here)) >= floor).reshape(-1))
+                    j, i = np.divmod(found, len(here))
+                    near.append((j + block, i + low, dots[found]))
+            j, i, dots = (np.concatenate(parts) for parts in zip(*near))
+            by_item = np.argsort(j, kind="stable")
+            ends = np.searchsorted(j[by_item], np.arange(len(items) + 1)).tolist()
             half = width * HOP // 2
             regions = np.lib.stride_tricks.sliding_window_view(around, width * HOP + 2 * half)
-            for block in range(0, len(items), 256):
-                own = items[block : block + 256]
-                dots = self.unit[own] @ window.T
-                j, i = np.nonzero(dots >= floor)
-                ends = np.searchsorted(j, np.arange(len(own) + 1)).tolist()
-                for b, item in enumerate(own.tolist()):
-                    a = i[ends[b] : ends[b + 1]]
-                    if not len(a):
-                        continue
-                    a = a[self._possible(item, regions[start[a] * HOP + margin - half], table)]
-                    for first, cosine in zip((start[a] * HOP).tolist(), (dots[b, a] / least[a] * self.cosine).tolist()):
-                        yield first, width * HOP, item, cosine
+            for b, item in enumerate(items.tolist()):
+                own = by_item[ends[b] : ends[b + 1]]
+                if not len(own):
+                    continue
+                own = own[self._possible(item, regions[start[i[own]] * HOP + margin - half], table)]
+                a = i[own]
+                for first, cosine in zip((start[a] * HOP).tolist(), (dots[own] / least[a] * self.cosine).tolist()):
+                    yield first, width * HOP, item, cosine
 
     def _judged(self, item: int, region: list[bytes]) -> tuple[float, float]:
         own = self.words[item]

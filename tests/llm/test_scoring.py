@@ -455,6 +455,35 @@ def test_sums_of_the_space_do_not_grow_with_the_files(spark):
     assert slots.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and slots.count() == 400
 
 
+@pytest.mark.parametrize("length", [5, 4 * 2048 + 9, 20011])
+def test_candidates_against_each_window_alone(length):
+    """Texts of less than one and of several batches of windows, the irregular last window too, and two batches of items."""
+    rng, vocabulary = np.random.default_rng(31), 400
+    space = np.zeros((decontamination.DIMS, 6), dtype=np.float32)
+    space[:vocabulary] = rng.standard_normal((vocabulary, 6))
+    items = [rng.integers(0, vocabulary, n).tolist() for n in rng.choice([6, 14, 23, 31, 46, 70], 300)]
+    held = decontamination.Retriever(list(range(len(items))), [b" ".join(b"w%d" % w for w in i) for i in items], items, space)
+    held._possible = lambda item, regions, table: np.ones(len(regions), dtype=bool)
+    text = rng.integers(0, vocabulary, length)
+    got = {(start, width, item): cosine for start, width, item, cosine in held.candidates(text, 0, length)}
+    blocks = -(-length // 4)
+    sums = np.append(np.zeros((1, 6)), np.cumsum(np.vstack([space[text], np.zeros((400, 6))]).astype(float), axis=0), axis=0)
+    seen = 0
+    for width, own in held.classes:
+        starts = sorted({*range(0, max(1, blocks - width + 1), max(1, width // 4)), max(0, blocks - width)})
+        window = sums[np.array(starts) * 4 + width * 4] - sums[np.array(starts) * 4]
+        cosines = held.unit[own] @ (window / np.linalg.norm(window, axis=1, keepdims=True)).T
+        for b, item in enumerate(own.tolist()):
+            for start, cosine in zip(starts, cosines[b].tolist()):
+                found = got.pop((start * 4, width * 4, item), None)
+                if abs(cosine - 0.55) > 1e-4:
+                    assert (found is not None) == (cosine > 0.55)
+                if found is not None:
+                    seen += 1
+                    assert abs(found - cosine) < 1e-4
+    assert seen and not got
+
+
 def test_no_leak_of_the_rule_is_filtered():
     """Short leaks with half of an item's words and all of its last third, under cosines that let all pass."""
     rng = random.Random(14)
