@@ -28,7 +28,7 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(quoted(source).alias(name) for name, source in columns.items()))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written as Parquet in the shared scratch folder and read back.
 
     It cuts the lineage, survives lost executors and is computed once. The shuffle files
@@ -36,7 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
     which is asked for here so that they do not pile up over the steps of a job.
     """
     path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options).option("compression", "zstd").parquet(path)
     for _ in range(2):  # the first round only finds what the second can free
         df.sparkSession.sparkContext._jvm.System.gc()
         time.sleep(0.2)

@@ -4,47 +4,100 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD, picked, quoted, spread_join, stored, words
+from .common import WORD, picked, quoted, spread_join, stored
 from .registry import load, register
 
 SIMILAR = (4, 5)  # Jaccard at least 4 / 5, kept as whole numbers so that comparisons are exact
 SKETCH = 1 << 18  # counters of token rarity: a fixed size, whatever the input
+BLANKS = " \t\n\x0b\f\r"
+BOUNDS = [(i - 8) << 60 for i in range(1, 16)]  # of the upper 4 bits of signed hashes
+BITS = 55  # of a token's hash; 8 bits above them hold the rarity
+
+
+def token_hashes(line: Column) -> Column:
+    """The different tokens of a line, as hashes of 64 bits.
+
+    A text is split faster at one character than by a pattern; the empty pieces go at the end.
+    """
+    for blank in BLANKS[1:]:
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    pieces = F.split(F.coalesce(line, F.lit("")), " ")
+    return F.array_remove(F.array_distinct(F.transform(pieces, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
+def _slot(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+
+
+def _dense(values: DataFrame) -> DataFrame:
+    """One row, ``listed``: ``value`` by ``slot`` as an array of ``SKETCH`` numbers, 0 where there is none."""
+    every = values.sparkSession.range(SKETCH).select(F.col("id").cast("int").alias("slot")).join(values, "slot", "left")
+    pairs = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("value", F.lit(0).cast("bigint")).alias("value")))).alias("a"))
+    return pairs.select(F.col("a.value").alias("listed"))
 
 
 def _rarity(lines: DataFrame) -> DataFrame:
-    """One row, ``counts``: how many lines' tokens fall on each of ``SKETCH`` counters.
+    """One row, ``listed``: how many lines' tokens fall on each of ``SKETCH`` counters, as
+    eighths of a power of two in the bits above those of a hash.
 
     A token is as frequent as its counter says, or rarer. The join is right for any order
     of tokens; the order only decides how many candidates there are.
     """
     # The outer generators of this module keep Spark from adding a filter on the size of
     # the array, which would compute the array once more.
-    tokens = lines.select(F.explode_outer(words(F.col("line"))).alias("token"))
-    counted = tokens.groupBy(F.xxhash64("token").bitwiseAND(F.lit(SKETCH - 1)).alias("slot")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(SKETCH).withColumnRenamed("id", "slot").join(counted, "slot", "left")
-    listed = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n")))).alias("a"))
-    return listed.select(F.transform("a", lambda x: F.least(x["n"], F.lit((1 << 23) - 1))).alias("counts"))
+    tokens = lines.select(F.explode_outer("tokens").alias("token"))
+    counted = tokens.groupBy(_slot(F.col("token")).alias("slot")).agg(F.count("*").alias("n"))
+    step = F.least(F.floor(F.log2(F.col("n").cast("double")) * 8), F.lit(255).cast("bigint"))
+    return _dense(counted.select("slot", F.shiftleft(step, BITS).alias("value")))
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """One row, ``listed``: a Bloom filter of the column ``id``, ``SKETCH`` words of 64 bits."""
+    h = F.xxhash64("id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 58).cast("int"))
+    return _dense(ids.groupBy(_slot(h).alias("slot")).agg(F.bit_or(bit).alias("value")))
 
 
-def _histogram(hashes: Column) -> Column:
-    """Tokens by 4 bits of their hash: 16 counts up to 15, packed into a bigint."""
-    shift = lambda h: (F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(15)) * 4).cast("int")
+def _marked(ids: DataFrame) -> Column:
+    """Whether the row's ``id`` may be among ``ids``; true for all that are."""
+    h = F.xxhash64("id")
+    word = F.get(_marks(ids).scalar(), _slot(h))
+    return F.call_function("shiftrightunsigned", word, F.shiftrightunsigned(h, 58).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
-    def add(state: Column, h: Column) -> Column:
-        held = F.call_function("shiftrightunsigned", state, shift(h)).bitwiseAND(F.lit(15).cast("bigint"))
-        change = held.bitwiseXOR(F.least(held + 1, F.lit(15).cast("bigint")))
-        return state.bitwiseXOR(F.call_function("shiftleft", change, shift(h)))
 
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), add)
+def _merged(hashes: Column) -> Column:
+    """The hashes in order, with the 15 bounds between the bins of ``_histogram`` among them."""
+    return F.sort_array(F.concat(hashes, F.array(*(F.lit(b).cast("bigint") for b in BOUNDS))))
+
+
+def _histogram(merged: Column) -> Column:
+    """Tokens by the upper 4 bits of their hash: 16 counts up to 15, packed into a bigint.
+
+    The places of the bounds tell the counts. ``merged`` is a column, read for each of them.
+    """
+    below = [F.lit(0), *(F.array_position(merged, F.lit(bound).cast("bigint")) - i for i, bound in enumerate(BOUNDS, 1)), F.size(merged) - len(BOUNDS)]
+    packed = F.lit(0).cast("bigint")
+    for i in range(16):
+        count = F.least(below[i + 1] - below[i], F.lit(15)).cast("bigint")
+        packed = packed.bitwiseOR(F.shiftleft(count, 4 * i))
+    return packed
 
 
 def _apart(a: Column, b: Column) -> Column:
-    """The sum of the differences of two histograms: at most the tokens that only one line has."""
-    count = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
-    total = F.abs(count(a, 0) - count(b, 0))
-    for i in range(1, 16):
-        total = total + F.abs(count(a, i) - count(b, i))
-    return total
+    """The sum of the differences of two histograms: at most the tokens that only one line has.
+
+    Every other count is put into a byte of its own, so that eight are subtracted at once.
+    """
+    every = lambda byte: F.lit(int.from_bytes(bytes([byte]) * 8)).cast("bigint")
+
+    def differences(a: Column, b: Column) -> Column:
+        raised = a.bitwiseOR(every(16)) - b
+        negative = F.shiftrightunsigned(raised, 4).bitwiseAND(every(1)).bitwiseXOR(every(1))
+        return raised.bitwiseXOR(negative * 15).bitwiseAND(every(15)) + negative
+
+    even = differences(a.bitwiseAND(every(15)), b.bitwiseAND(every(15)))
+    odd = differences(*(F.shiftrightunsigned(c, 4).bitwiseAND(every(15)) for c in (a, b)))
+    return (even + odd) % 255  # the sum of the bytes, at most 240
 
 
 def _possible(similar: tuple[int, int], n: Column, pos: Column, histogram: Column, m: Column, m_pos: Column, m_histogram: Column) -> Column:
@@ -71,30 +124,27 @@ def _verified(pairs: DataFrame, tokens: DataFrame, similar: tuple[int, int]) ->
 def repeated_lines(lines: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The ids of the different lines that are similar to an earlier one: column ``x``.
 
-    ``lines`` has ``id``, ``line`` and ``place``, the order of its first occurrence.
+    ``lines`` has ``id``, ``tokens`` (its ``token_hashes``) and ``place``, the order of its
+    first occurrence.
     Tokens are ordered by rarity. Two lines of n tokens with Jaccard p/q share a token
     among the first n - ceil(n p / q) + 1 of each, so these prefixes are the join key.
     First a semi-join, which stops at a line's first possible partner, finds the few
-    lines that have one. Among those, each line is verified against the earliest line of
-    each of its prefix tokens; this settles the members of large groups of near copies.
-    Those without a match there are verified against all others. So pairs within a group
-    are not written out, and none is left unchecked.
+    lines that have one; a Bloom filter of them keeps most others out of the shuffle. Among
+    those, each line is verified against the earliest line of each of its prefix tokens;
+    this settles the members of large groups of near copies. Those without a match there,
+    but with an earlier line at some token, are verified against all others. So pairs
+    within a group are not written out, and none is left unchecked.
     """
     p, q = similar
-    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
-    # The generator keeps the hashes apart from the counts. So the counts, used once, are
-    # put in place as one value per task, and not written into each row as a column.
-    measured = lines.where("id is not null").select("id", F.explode(F.array(hashes)).alias("hashes"))
-    measured = measured.select("id", "hashes", _rarity(lines).scalar().alias("counts"))
-    low = F.lit((1 << 40) - 1)
-    by_rarity = F.sort_array(
-        F.transform(
-            "hashes",
-            lambda h: F.shiftleft(F.element_at("counts", (h.bitwiseAND(F.lit(SKETCH - 1)) + 1).cast("int")).cast("bigint"), 40).bitwiseOR(h.bitwiseAND(low)),
-        )
-    )
-    prefix = F.slice(by_rarity, 1, F.expr(f"size(hashes) - (size(hashes) * {p} + {q - 1}) div {q} + 1").cast("int"))
-    entries = measured.select("id", F.size("hashes").alias("n"), _histogram(F.col("hashes")).alias("histogram"), prefix.alias("prefix"))
+    # The generator keeps the hashes in order apart from the counts. So the counts, used once,
+    # are put in place as one value per task, and not written into each row as a column.
+    measured = lines.where("id is not null").select("id", "tokens", F.explode(F.array(_merged(F.col("tokens")))).alias("merged"))
+    measured = measured.select("id", "tokens", "merged", _rarity(lines).scalar().alias("counts"))
+    # Without nulls, Spark sorts the plain numbers.
+    rarity = lambda h: F.coalesce(F.get("counts", _slot(h)), F.lit(0).cast("bigint"))
+    by_rarity = F.sort_array(F.transform("tokens", lambda h: rarity(h).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS))))
+    prefix = F.slice(by_rarity, 1, F.expr(f"size(tokens) - (size(tokens) * {p} + {q - 1}) div {q} + 1").cast("int"))
+    entries = measured.select("id", F.size("tokens").alias("n"), _histogram(F.col("merged")).alias("histogram"), prefix.alias("prefix"))
     entries = entries.select("id", "n", "histogram", F.posexplode_outer("prefix").alias("pos", "token"))
     entries = entries.where("token is not null").select("token", "id", "n", (F.col("pos") + 1).alias("pos"), "histogram")
 
@@ -103,24 +153,27 @@ def repeated_lines(lines: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
 
     a, b = entries.alias("a"), entries.alias("b")  # the same rows twice, shuffled once
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & pair("a", "b"), "left_semi")
-    near = stored(met.select("id", "token", "n", "pos", "histogram"))
-    chosen = near.select("id").distinct()
-    known = stored(lines.join(chosen, "id").select("id", "place", F.array_distinct(words(F.col("line"))).alias("tokens")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    near = stored(met.groupBy("id").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"), listed.alias("shared")))
+    known = stored(lines.where(_marked(near)).select("id", "place", "tokens").join(near, "id"))
     tokens = known.select("id", "tokens")
-    near = stored(spread_join(near, known.select("id", "place"), ["id"], "inner"))
+    near = known.select("id", "place", "n", "histogram", F.col("shared.token").alias("shared"), F.explode("shared").alias("e"))
+    near = near.select("id", "place", "n", "histogram", "shared", "e.pos", "e.token")
 
-    heads = near.groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos", "histogram")).alias("h")).select("token", F.col("h.id").alias("y"), F.struct("h.*").alias("b"))
+    heads = near.where("place is not null").groupBy("token").agg(F.min(F.struct("place", "id", "n", "pos", "histogram")).alias("h")).select("token", F.col("h.id").alias("y"), F.struct("h.*").alias("b"))
     own = near.select("token", F.col("id").alias("x"), F.struct("place", "n", "pos", "histogram").alias("a"))
-    earlier = (F.col("b.place") < F.col("a.place")) & pair("a", "b")
-    first = spread_join(own, heads, ["token"], "inner").where(earlier)
-    settled = stored(_verified(first.select("x", "y").distinct(), tokens, similar))
+    earlier = F.col("b.place") < F.col("a.place")
+    first = spread_join(own, heads, ["token"], "inner").where(earlier).groupBy("x", "y").agg(F.max(pair("a", "b")).alias("possible"))
+    first = stored(first)
+    settled = stored(_verified(first.where("possible").select("x", "y"), tokens, similar))
+    # A line that comes first for each of its tokens has no earlier partner.
+    late = first.select("x").distinct().join(settled, "x", "left_anti")
     # Two lines share several tokens; only the first of them makes the pair.
-    shared = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s")).select("id", F.col("s.token").alias("shared"))
-    listed = spread_join(near, shared, ["id"], "inner").select("token", "id", F.struct("place", "n", "pos", "histogram", "shared").alias("a"))
-    rest = spread_join(listed.withColumnRenamed("id", "x"), settled, ["x"], "left_anti")
+    listed = near.select("token", "id", F.struct("place", "n", "pos", "histogram", "shared").alias("a"))
+    rest = spread_join(listed.withColumnRenamed("id", "x"), late, ["x"], "left_semi")
     others = listed.select(F.col("token").alias("t"), F.col("id").alias("y"), F.col("a").alias("b"))
-    first = F.array_intersect("a.shared", "b.shared")[0] == F.col("token")
-    late = rest.join(others, (F.col("token") == F.col("t")) & earlier & first).select("x", "y").distinct()
+    once = F.array_intersect("a.shared", "b.shared")[0] == F.col("token")
+    late = rest.join(others, (F.col("token") == F.col("t")) & earlier & pair("a", "b") & once).select("x", "y").distinct()
     return settled.union(_verified(late, tokens, similar))
 
 
@@ -141,14 +194,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = picked(docs, doc_id=id_col, text=text_col)
     own = own.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")
-    own = own.where(F.col("line").rlike(WORD)).withColumn("place", place.cast("decimal(38,0)"))
-    lines = own.groupBy("line").agg(F.min("place").alias("place"))
-    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))
+    own = own.where(F.ltrim("line", F.lit(BLANKS)) != "").withColumn("place", place.cast("decimal(38,0)"))
+    h, g = F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")
+    lines = own.groupBy("line").agg(F.min("place").alias("place"), (F.count("*") > 1).alias("copied"))
+    lines = lines.select(token_hashes(F.col("line")).alias("tokens"), "place", "copied", h, g, F.monotonically_increasing_id().alias("id"))
+    lines = stored(lines, **{"parquet.dictionary.page.size": str(32 << 20)})  # hashes of words repeat: a quarter of the size
 
-    marked = lines.select("id", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.col("place").alias("first"))
     gone = repeated_lines(lines, similar).select(F.col("x").alias("id"), F.lit(True).alias("gone"))
-    marked = stored(marked.join(gone, "id", "left").select("h", "g", "first", "gone"))
-    seen = own.select("doc_id", "text_key", "at", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    marked = lines.select("id", "h", "g", F.col("place").alias("first"), "copied").join(gone, "id", "left")
+    marked = stored(marked.where(F.col("copied") | F.col("gone")).select("h", "g", "first", "gone"))
+    seen = own.select("doc_id", "text_key", "at", "place", h, g)
     out = spread_join(seen, marked, ["h", "g"], "inner").where((F.col("place") > F.col("first")) | (F.col("gone") & F.col("doc_id").isNotNull()))
     out = out.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("__gone"))
     keyed = docs.withColumn("__id", quoted(id_col)).withColumn("__key", F.xxhash64(quoted(text_col)))

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from keelson.llm import embeddings, lines, simhash, substrings
 from keelson.llm.common import components
@@ -95,6 +96,47 @@ def test_lines(docs, corpus):
         lines.drop_repeated_lines(docs.withColumnRenamed("lang", "N_lines"))
 
 
+def test_tokens_of_a_line(spark):
+    """Every blank separates, and nothing else does; a token counts once."""
+    texts = [" a\tb  c\x0bd\x0ce\rf\ng ", "a", "a a\u00a0a a", " \t", "", None, "é\x1fü é\x1fü"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string").select("line", lines.token_hashes(F.col("line")).alias("tokens"))
+    signed = lambda w: xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63)
+    for r in df.collect():
+        assert len(r.tokens) == len(set(r.tokens))
+        assert set(r.tokens) == {signed(w) for w in (r.line or "").encode().split()}, r.line
+
+
+def test_histograms_of_lines(spark):
+    """Against plain counts: full bins, empty ones, hashes on the bounds, both extremes."""
+    rng = random.Random(3)
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice([0, 1, 5, 60, 200]))] for _ in range(40)]
+    sets += [list(lines.BOUNDS), [-(1 << 63), (1 << 63) - 1], [*range(20)], [-1 - i for i in range(20)]]
+    bins = [[min(15, sum((h >> 60) + 8 == b for h in hashes)) for b in range(16)] for hashes in sets]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, hashes array<bigint>").select("i", lines._merged(F.col("hashes")).alias("m"))
+    df = df.select("i", lines._histogram(F.col("m")).alias("h"))
+    pairs = df.crossJoin(df.select(F.col("i").alias("j"), F.col("h").alias("k"))).select("i", "j", lines._apart(F.col("h"), F.col("k")).alias("apart"))
+    for r in pairs.collect():
+        assert r.apart == sum(abs(x - y) for x, y in zip(bins[r.i], bins[r.j], strict=True)), (r.i, r.j)
+
+
+def test_lines_near_one_without_a_place(spark):
+    """A line of a null id is nobody's earlier line, and hides no earlier line of others."""
+    words = [f"w{i}" for i in range(30)]
+    near = lambda i: " ".join([*words[:i], f"x{i}", *words[i + 1 :]])
+    rows = [(None, near(0)), (3, near(1)), (1, near(2)), (2, near(2) + " y"), (None, near(3)), (4, "a line of its own")]
+    out = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    gone = Counter((r.doc_id, r.n_removed) for r in out.collect())
+    assert gone == {(None, 0): 2, (1, 0): 1, (2, 1): 1, (3, 1): 1, (4, 0): 1}
+
+
+def test_lines_are_split_into_words_once(docs, monkeypatch):
+    """The later steps read hashes: texts are split for the different lines only."""
+    held, plain = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, **options: held.append(df.columns) or plain(df, **options))
+    lines.drop_repeated_lines(docs)
+    assert "tokens" in held[0] and not any("line" in columns for columns in held)
+
+
 def test_line_dedup_is_native(docs):
     plan = lines.drop_repeated_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
